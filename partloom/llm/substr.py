@@ -6,7 +6,7 @@ by a prefix of variable length (a prefix-free code: it ends at the first place,
 ``MIN_PREFIX`` words on, that its own hash marks). In a group, the sorted suffixes are
 the leaves of a subtree; leaves with one path label down to depth ``WINDOW`` hang below
 a deep internal node, a repeat, and all but the first of them are marked. Path labels
-are compared by 128 bits of hash. Adjacent marks make up the maximal repeats.
+are compared by 128 bits of hash (prefix and whole). Adjacent marks make up the maximal repeats.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._util import drop, materialize, small_batches
-from ._words import MUL, MUL2, WORD, WordHashes, rolling
+from ._words import MUL, MUL2, WORD, WordHashes, mixed, rolling
 
 WINDOW = 20
 #: Words of a winnowed run; every window of WINDOW words has one, chosen by its content alone.
@@ -30,44 +30,38 @@ HOT, SALTS = 500, 32
 _LAST = (1 << 63) - 1
 
 
-def _minima(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` hashes, the place of its (leftmost) minimum."""
-    m = len(h) - width + 1
-    best, at = h[:m].copy(), np.zeros(m, np.int64)
-    for j in range(1, width):
-        x = h[j : j + m]
-        less = x < best
-        best[less] = x[less]
-        at[less] = j
-    return at + np.arange(m)
+def _window_minima(h: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each window of ``width`` hashes, by doubling."""
+    step = 1
+    while 2 * step <= width:
+        h = np.minimum(h[: len(h) - step], h[step:])
+        step *= 2
+    rest = width - step
+    return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def _runs(h: np.ndarray) -> np.ndarray:
-    return rolling(h, RUN)
+def _chosen(h: np.ndarray) -> np.ndarray:
+    """For each window of ``WINDOW`` words, the hash of its winnowed run."""
+    return _window_minima(rolling(h, RUN), WINDOW - RUN + 1)
 
 
-def _prefix(h: np.ndarray) -> np.ndarray:
-    """Hash of the variable-length prefix of each suffix of ``WINDOW`` words."""
-    m = len(h) - WINDOW + 1
-    x = np.zeros(m, np.uint64)
-    out = np.zeros(m, np.uint64)
-    done = np.zeros(m, bool)
+def _labels(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix hash and path label of the suffixes at ``pos``: 128 bits in all."""
+    x = np.zeros(len(pos), np.uint64)
+    y = np.zeros(len(pos), np.uint64)
+    out = np.zeros(len(pos), np.uint64)
+    open_ = np.ones(len(pos), bool)
     for j in range(WINDOW):
-        x = x * MUL + h[j : j + m]
-        if j + 1 >= MIN_PREFIX:
-            mark = (((x >> np.uint64(40)) & np.uint64(3)) == 0) if j + 1 < WINDOW else np.ones(m, bool)
-            new = mark & ~done
+        word = h[pos + j]
+        y = y * MUL2 + word
+        if j + 1 < MIN_PREFIX:
+            x = x * MUL + word
+        elif open_.any():
+            x = x * MUL + word
+            new = open_ & (((x >> np.uint64(40)) & np.uint64(3)) == 0) if j + 1 < WINDOW else open_
             out[new] = x[new]
-            done |= new
-    return out
-
-
-def _mark(w1: np.ndarray, w2: np.ndarray, last: tuple | None) -> np.ndarray:
-    """True where a leaf has the same path label as the one before it."""
-    same = np.zeros(len(w1), bool)
-    same[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
-    same[0] = last == (w1[0], w2[0])
-    return same
+            open_ &= ~new
+    return out, mixed(y)
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,8 +84,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = WORD.findall(t.as_py())
                 if len(w) >= WINDOW:
-                    r = _runs(cache.of(w))
-                    r = np.unique(r[np.unique(_minima(r, WINDOW - RUN + 1))])
+                    r = np.unique(_chosen(cache.of(w)))
                     hs.append(r)
                     ds.append(np.full(len(r), d, np.int64))
             if hs:
@@ -111,45 +104,48 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 h = cache.of(WORD.findall(t.as_py()))
                 if len(h) < WINDOW:
                     continue
-                r = _runs(h)
-                chosen = r[_minima(r, WINDOW - RUN + 1)]
+                chosen = _chosen(h)
                 is_hot = np.isin(chosen, np.asarray(hot.values).view(np.uint64))
                 pos = np.flatnonzero(is_hot | np.isin(chosen, np.asarray(cold.values).view(np.uint64)))
                 salt = np.where(is_hot[pos], d % SALTS + 1, 0)
-                parts.append((_prefix(h)[pos], salt, rolling(h, WINDOW)[pos], rolling(h, WINDOW, MUL2)[pos], np.full(len(pos), d, np.int64), pos))
+                parts.append((*_labels(h, pos), salt, np.full(len(pos), d, np.int64), pos))
                 if sum(len(p[0]) for p in parts) > 200_000:
                     yield _batch(parts)
                     parts = []
             if parts:
                 yield _batch(parts)
 
+    names = ["prefix", "label", "salt", "d", "pos"]
+
     def _batch(parts: list[tuple]) -> pa.RecordBatch:
-        cols = [np.concatenate([p[k] for p in parts]) for k in range(6)]
-        kinds = (np.int64, np.int8, np.int64, np.int64, np.int64, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(c.view(k) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(cols, kinds, strict=True)], names=["prefix", "salt", "w1", "w2", "d", "pos"])
+        cols = [np.concatenate([p[k] for p in parts]) for k in range(5)]
+        kinds = (np.int64, np.int64, np.int8, np.int64, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c.view(k) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
-            salt, w1, w2, d, pos = (b.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
-            if not len(w1):
+            if not b.num_rows:
                 continue
-            new_salt = np.zeros(len(w1), bool)
-            new_salt[1:] = salt[1:] != salt[:-1]
-            same = _mark(w1, w2, last and last[:2] if last and last[2] == salt[0] else None) & ~new_salt
-            last = (w1[-1], w2[-1], salt[-1])
+            prefix, label, salt, d, pos = (b.column(k).to_numpy() for k in range(5))
+            same = np.zeros(len(label), bool)
+            same[1:] = (prefix[1:] == prefix[:-1]) & (label[1:] == label[:-1]) & (salt[1:] == salt[:-1])
+            same[0] = last == (prefix[0], label[0], salt[0])
+            last = (prefix[-1], label[-1], salt[-1])
             keep = same | (salt > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (b.column(0).to_numpy(), np.where(same, 0, salt).astype(np.int8), w1, w2, d, pos)], names=["prefix", "salt", "w1", "w2", "d", "pos"])
+            first = (salt > 0) & ~same  # the label is needed once more for these alone
+            out = [np.where(first, prefix, 0), np.where(first, label, 0), np.where(first, salt, 0).astype(np.int8), d, pos]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in out], names=names)
 
-    rows = "prefix bigint, salt tinyint, w1 bigint, w2 bigint, d bigint, pos int"
+    rows = "prefix bigint, label bigint, salt tinyint, d bigint, pos int"
     texts = d.join(copies, ["d", "th"], "left_anti").select("d", "text").join(of_doc, "d").select("d", "text", "cold", "hot")
     leaves = texts.mapInArrow(suffixes, rows)
-    by_label = ("prefix", "salt", "w1", "w2", "d", "pos")
+    by_label = ("prefix", "salt", "label", "d", "pos")
     found = leaves.repartition("prefix", "salt").sortWithinPartitions(*by_label).mapInArrow(subtrees, rows)
     found = materialize(found, clean=True)
     drop(of_doc)
     # Firsts of the salted groups of hot windows meet here, SALTS of a window at most.
-    again = found.where("salt > 0").withColumn("salt", F.lit(0).cast("tinyint")).repartition("prefix").sortWithinPartitions(*by_label).mapInArrow(subtrees, rows)
+    again = found.where("salt > 0").select("prefix", "label", F.lit(0).cast("tinyint").alias("salt"), "d", "pos").repartition("prefix").sortWithinPartitions(*by_label).mapInArrow(subtrees, rows)
     return found.where("salt = 0").select("d", "pos").union(again.select("d", "pos")), copies
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._util import materialize, small_batches
@@ -192,23 +192,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     key = ["tree", "leaf", "block", "part"]
 
     def score(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"qid": pd.Series(dtype="int64"), "vid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        """The best members of the block for each query: one row a query, ids and scores packed."""
         if not len(q) or not len(m):
-            return none
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "vids": pd.Series(dtype="object"), "scores": pd.Series(dtype="object")})
         x, vid = _matrix(m.x, dim), m.vid.to_numpy()
         order = np.argsort(vid)
         x, vid = x[order], vid[order]
-        out = []
+        ids, scores = [], []
         for lo in range(0, len(q), 1024):
             s = _matrix(q.q[lo : lo + 1024], dim) @ x.T
             keep = min(k + 1, len(vid))
             at = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-            out.append(pd.DataFrame({"qid": np.repeat(q.qid.to_numpy()[lo : lo + 1024], keep), "vid": vid[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel()}))
-        return pd.concat(out)
+            ids += [r.tobytes() for r in vid[at]]
+            scores += [r.tobytes() for r in np.take_along_axis(s, at, 1)]
+        return pd.DataFrame({"qid": q.qid.to_numpy(), "vids": ids, "scores": scores})
 
-    scored = sent.groupBy(key).cogroup(cut.groupBy(key)).applyInPandas(score, "qid bigint, vid bigint, score double")
-    best = scored.groupBy("qid", "vid").agg(F.max("score").alias("score"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vid"))).where(F.col("r") <= k + 1)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of all blocks for each query; a vector met in several trees counts once."""
+        for b in batches:
+            qs, vs, ss = [], [], []
+            for q, vids, scores in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                v, s = np.frombuffer(b"".join(vids), np.int64), np.frombuffer(b"".join(scores), np.float64)
+                order = np.lexsort((v, -s))
+                _, first = np.unique(v[order], return_index=True)
+                top = order[np.sort(first)[: k + 1]]
+                qs.append(np.full(len(top), q, np.int64))
+                vs.append(v[top])
+                ss.append(s[top])
+            if qs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qs, vs, ss)], names=["qid", "vid", "score"])
+
+    scored = sent.groupBy(key).cogroup(cut.groupBy(key)).applyInPandas(score, "qid bigint, vids binary, scores binary")
+    best = scored.groupBy("qid").agg(F.collect_list("vids").alias("vids"), F.collect_list("scores").alias("scores")).mapInArrow(merge, "qid bigint, vid bigint, score double")
     each = best.join(distinct.select("vid", "ids"), "vid").select("qid", F.struct((-F.col("score")).alias("s"), "ids").alias("c"))
     near = each.groupBy("qid").agg(F.array_sort(F.flatten(F.transform(F.collect_list("c"), lambda c: F.transform(c["ids"], lambda i: F.struct(c["s"].alias("s"), i.alias("vec_id")))))).alias("near"))
     out = asked.join(near.withColumnRenamed("qid", "vid"), "vid")

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space that separates words in the contracts: blank and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,7 +56,8 @@ def drop(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
-    """Bounds Arrow batches in rows and bytes, so that very long texts do not meet in one batch."""
+    """Bounds Arrow batches in rows and bytes, so that very long texts do not meet in one batch; sends the package to the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans.queries import Q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q.spark for name, q in Q.items()}
+ORACLE_SQL: dict[str, str] = {name: q.duck() for name, q in Q.items()}
 FLAGSHIP = "cells_by_method"

@@ -9,22 +9,23 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC form; null stays null."""
     return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd_ascii(s: pd.Series) -> pd.Series:
     """NFKD without combining marks, lower case, multiplication signs as x."""
     bare = lambda v: "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).lower().replace("×", "x")
     return s.map(bare, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Comparison form: NFKC, white space to single blanks, case folded (sharp s becomes ss)."""
     return s.map(lambda v: " ".join(unicodedata.normalize("NFKC", v).split()).casefold(), na_action="ignore")
@@ -64,7 +65,7 @@ def similarity(a: str, b: str) -> float:
 def fuzzy_best(aliases: list[tuple[str, str]], cutoff: float):
     """A function of a normalised value: struct(canonical, score) of the best alias, the first of equals."""
 
-    @F.pandas_udf("canonical string, score double")
+    @F.pandas_udf(StructType([StructField("canonical", StringType()), StructField("score", DoubleType())]))
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen: dict[str, tuple[str | None, float | None]] = {}
 

@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import small_batches
+from ._util import materialize, small_batches
 from .urlfilter import host_path
 
-#: Pages of a group and characters of their html on average; a host with more is cut into several groups.
+#: Pages of a group and characters of their html on average.
 GROUP_PAGES, GROUP_CHARS = 64, 4_000_000
+#: At most so many hosts hold more than this share of all pages, and as many that share of all characters: they are sent to every executor.
+LARGE_HOSTS = 100_000
 #: Distinct pages from which on a group's template tells text of the site from text of the page.
 MIN_SUPPORT = 4
 
@@ -222,24 +224,40 @@ def extract_group(sources: list[str | None]) -> list[tuple[str, int]]:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_template_tokens), one row per row of ``pages`` (page_id, url, html).
 
-    Pages are grouped by host; a host with many or long pages is cut by a hash of
-    page_id into groups of some ``GROUP_PAGES`` pages and ``GROUP_CHARS`` characters,
-    so no host is gathered whole. Null or empty html gives an empty text; a null url
-    counts as a host of its own; repeated pages count once in a template; hosts with
-    few pages are read by their markup alone; an empty table stays empty.
+    Pages are grouped by host. A host with more than a ``LARGE_HOSTS``-th of all pages
+    or characters (and more than a group's) is dealt by a hash of page_id into groups of
+    some ``GROUP_PAGES`` pages and ``GROUP_CHARS`` characters before the shuffle; others
+    are cut the same way where they arrive, so no host is gathered whole and no group is
+    large. Null or empty html gives an empty text; a null url counts as a host of its
+    own; repeated pages count once in a template; hosts with few pages are read by their
+    markup alone; an empty table stays empty.
     """
     small_batches(pages.sparkSession)
     host = host_path(F.col("url"))[0]
     p = pages.select(F.col("page_id").cast("string"), "url", "html", host.alias("host"))
-    size = F.length(F.coalesce("html", F.lit("")))
-    n = F.ceil(F.greatest(F.count("*") / GROUP_PAGES, F.sum(size) / GROUP_CHARS)).cast("long")
-    large = p.groupBy("host").agg(n.alias("n_groups")).where("n_groups > 1")
+    counts = p.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("html", F.lit("")))).alias("chars"))
+    counts = materialize(counts)
+    all_pages, all_chars = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    large = counts.where((F.col("n") > max(GROUP_PAGES, all_pages // LARGE_HOSTS)) | (F.col("chars") > max(GROUP_CHARS, all_chars // LARGE_HOSTS)))
+    large = large.select("host", F.ceil(F.greatest(F.col("n") / GROUP_PAGES, F.col("chars") / GROUP_CHARS)).cast("long").alias("n_groups"))
     salt = F.pmod(F.xxhash64("page_id", F.lit(3)), F.coalesce("n_groups", F.lit(1).cast("long")))
-    p = p.join(large, "host", "left").withColumn("salt", salt).select("host", "salt", "page_id", "url", "html")
+    # Two times LARGE_HOSTS rows at most, by the choice of the bounds.
+    p = p.join(F.broadcast(large), "host", "left").withColumn("salt", salt).withColumn("order", F.xxhash64("page_id")).select("host", "salt", "order", "page_id", "url", "html")
 
     def extract(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = extract_group([h if isinstance(h, str) else None for h in pdf.html])
+        pdf = pdf.sort_values("order", kind="stable")
+        sources = [h if isinstance(h, str) else None for h in pdf.html]
+        got: list[tuple[str, int]] = []
+        for part in _cut(sources):
+            got += extract_group(part)
         return pd.DataFrame({"page_id": pdf.page_id, "url": pdf.url, "text": [t for t, _ in got], "n_template_tokens": [k for _, k in got]})
 
     out = p.groupBy("host", "salt").applyInPandas(extract, "page_id string, url string, text string, n_template_tokens bigint")
     return out.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))
+
+
+def _cut(sources: list[str | None]) -> list[list[str | None]]:
+    """Parts of even size of at most some ``GROUP_PAGES`` pages and ``GROUP_CHARS`` characters on average."""
+    n = max(1, -(-len(sources) // (2 * GROUP_PAGES)), -(-sum(len(s or "") for s in sources) // (2 * GROUP_CHARS)))
+    size = -(-len(sources) // n) or 1
+    return [sources[i : i + size] for i in range(0, len(sources), size)]

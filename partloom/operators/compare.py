@@ -30,26 +30,28 @@ def _words(d: Spark, x: str) -> str:
 
 
 def features(d: Spark) -> list[Stage]:
-    """Columns that the comparators read, in stages, from value, extracted, field and extraction_confidence."""
+    """Columns that the comparators read, in stages, from value, extracted, field and extraction_confidence; each only for its fields."""
+    only = lambda fields, e: f"CASE WHEN field IN ({', '.join(map(lit, fields))}) THEN {e} END"
+    sizes = (*DIMENSIONS, "Nitriding depth")
     out: list[Stage] = [{"m": norm(d, "value"), "e": norm(d, "extracted")}]
     two: Stage = {}
     for k in ("m", "e"):
         two |= {
             f"{k}_alnum": fn.alnum(d, k),
-            f"{k}_words": _words(d, k),
-            f"{k}_int": f"(CASE WHEN {d.matches(f'replace({k}, {lit(" ")}, {lit("")})', r'^[-+]?[0-9]+$')} THEN TRY_CAST(replace({k}, ' ', '') AS BIGINT) END)",
-            f"{k}_dec": fn.comparable_decimal(d, k),
-            f"{k}_core": d.replace(d.replace(d.replace(k, "[ø⌀]"), r"\b(mm|zu)\b"), r"[^0-9,.\-+]"),
-            f"{k}_qty": fn.quantity(d, k),
-            f"{k}_main": fn.strip(d, d.item(d.split(k, r"[-.]"), 0)),
-            f"{k}_hard": fn.hardness_cores(d, k),
-            f"{k}_nr": f"nullif({d.extract(k, r'([0-9])[.-]([0-9]{4})', 1)} || '.' || {d.extract(k, r'([0-9])[.-]([0-9]{4})', 2)}, '.')",
-            f"{k}_desc": d.replace(d.replace(k, r"\bdin\s*[-_/]*\s*", "din"), "[^a-z0-9]"),
+            f"{k}_words": f"CASE WHEN match_type = 'row_fallback' OR field IN ('Customer Part Number', 'Description') THEN {_words(d, k)} END",
+            f"{k}_int": only(QUANTITIES, f"(CASE WHEN {d.matches(f'replace({k}, {lit(" ")}, {lit("")})', r'^[-+]?[0-9]+$')} THEN TRY_CAST(replace({k}, ' ', '') AS BIGINT) END)"),
+            f"{k}_dec": only(sizes, fn.comparable_decimal(d, k)),
+            f"{k}_core": only(DIMENSIONS, d.replace(d.replace(d.replace(k, "[ø⌀]"), r"\b(mm|zu)\b"), r"[^0-9,.\-+]")),
+            f"{k}_qty": only(QUANTITIES, fn.quantity(d, k)),
+            f"{k}_main": only(("Detail Number",), fn.strip(d, d.item(d.split(k, r"[-.]"), 0))),
+            f"{k}_hard": only(("Hardness",), fn.hardness_cores(d, k)),
+            f"{k}_nr": only(("Material",), f"nullif({d.extract(k, r'([0-9])[.-]([0-9]{4})', 1)} || '.' || {d.extract(k, r'([0-9])[.-]([0-9]{4})', 2)}, '.')"),
+            f"{k}_desc": only(("Description",), d.replace(d.replace(k, r"\bdin\s*[-_/]*\s*", "din"), "[^a-z0-9]")),
             f"{k}_bool": f"(CASE WHEN {k} IN ({', '.join(map(lit, TRUE_WORDS))}) THEN 1 WHEN {k} IN ({', '.join(map(lit, FALSE_WORDS))}) THEN 0 END)",
             f"{k}_coat": f"coalesce({lookup(d, k, _low('coating'))}, {k})",
             f"{k}_nit": f"coalesce({lookup(d, k, _low('nitriding'))}, {k})",
         }
-    two["nums"] = fn.dimension_numbers(d, "e")
+    two["nums"] = only(DIMENSIONS, fn.dimension_numbers(d, "e"))
     out.append(two)
     at = " ".join(f"WHEN {lit(f)} THEN {d.item('nums', i)}" for i, f in enumerate(DIMENSIONS))
     number = lambda k: f"CASE WHEN {d.matches(k, r'^[-+]?[0-9]+$')} THEN CAST(TRY_CAST({k} AS BIGINT) AS STRING) ELSE {k} END"

@@ -534,3 +534,83 @@ def dashboard_rates(d: Spark) -> str:
 @query("audit_percentages", "job")
 def audit_percentages(d: Spark) -> str:
     return f"SELECT job_id, round(1e-9 + CASE WHEN {SCORED} > 0 THEN yellow_count * CAST(100 AS DOUBLE) / {SCORED} ELSE 0 END, 4) AS yellow_percent, round(1e-9 + CASE WHEN total_cells > 0 THEN neutral_count * CAST(100 AS DOUBLE) / total_cells ELSE 0 END, 4) AS neutral_percent FROM job"
+
+
+# Tokens, boxes and evidence.
+@query("close_numeric_miss", "bom_src")
+def close_numeric_miss(d: Spark) -> str:
+    """Numbers that differ by one edit, or of which one starts the other with two digits more at most."""
+    a, b = f"coalesce({fn.coerce_integer(d, 'Menge')}, '')", "CAST(l_partkey % 60 AS STRING)"
+    starts = "starts_with" if d.name == "duck" else "startswith"
+    return f"""WITH t AS (SELECT doc_id, row_index, {a} AS a, {b} AS b FROM bom_src), n AS (SELECT * FROM t WHERE {d.matches('a', '^[0-9]+$')} AND a <> b)
+        SELECT doc_id, row_index, a, b, CAST(levenshtein(a, b) AS BIGINT) AS distance, (({starts}(a, b) OR {starts}(b, a)) AND abs(length(a) - length(b)) <= 2) OR levenshtein(a, b) <= 1 AS close FROM n"""
+
+
+@query("box_overlap", "bom_src")
+def box_overlap(d: Spark) -> str:
+    """Share of the union of two vertical intervals that both cover, and the gap between them."""
+    return """WITH b AS (SELECT doc_id, row_index, CAST(row_index * 20 AS DOUBLE) AS a0, CAST(row_index * 20 + 8 AS DOUBLE) AS a1, CAST(row_index * 20 + l_partkey % 15 AS DOUBLE) AS b0, CAST(row_index * 20 + l_partkey % 15 + 6 AS DOUBLE) AS b1 FROM bom_src),
+        o AS (SELECT *, greatest(CAST(0 AS DOUBLE), least(a1, b1) - greatest(a0, b0)) AS common, greatest(a1, b1) - least(a0, b0) AS span FROM b)
+        SELECT doc_id, row_index, round(1e-9 + common / (a1 - a0 + b1 - b0 - common), 6) AS iou, greatest(CAST(0 AS DOUBLE), greatest(a0, b0) - least(a1, b1)) AS gap, CASE WHEN common / (a1 - a0 + b1 - b0 - common) >= 0.55 THEN 'confirm' WHEN common / (a1 - a0 + b1 - b0 - common) >= 0.35 OR greatest(a0, b0) - least(a1, b1) <= 12 AND common = 0 THEN 'corridor' ELSE 'none' END AS status FROM o"""
+
+
+@query("extraction_confidence", "ev")
+def extraction_confidence(d: Spark) -> str:
+    """Confidence of a location by its kind, capped where the source was repaired or the column is uncertain."""
+    base = "CASE match_type WHEN 'column_corridor' THEN 0.98 WHEN 'column_estimate' THEN 0.88 WHEN 'row_fallback' THEN 0.82 ELSE 0.72 END"
+    text = "CASE WHEN extraction_confidence <= 0 THEN 0.95 ELSE extraction_confidence END"
+    c = f"CASE WHEN doc_id % 2 = 0 THEN CAST({text} AS DOUBLE) ELSE CAST({base} AS DOUBLE) END"
+    capped = f"least({c}, CASE WHEN doc_id % 11 = 0 THEN CAST(0.86 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END, CASE WHEN row_index % 13 = 5 THEN CAST(0.68 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END)"
+    return f"WITH e AS (SELECT field, match_type, {capped} AS confidence FROM ev WHERE extracted IS NOT NULL) SELECT field, match_type, round(1e-9 + avg(confidence), 6) AS confidence, count(*) AS n FROM e GROUP BY field, match_type"
+
+
+@query("canonical_pairs", "ev")
+def canonical_pairs(d: Spark) -> str:
+    """Both sides of a coating or nitriding comparison in canonical form; unknown values stand for themselves."""
+    canon = lambda x: f"CASE WHEN field = 'Coating' THEN coalesce({transform.lookup(d, x, schema.alias_rows('coating'))}, {x}) ELSE coalesce({transform.lookup(d, x, schema.alias_rows('nitriding'))}, {x}) END"
+    return f"WITH n AS (SELECT doc_id, row_index, field, {compare.norm(d, 'value')} AS m, {compare.norm(d, 'extracted')} AS e FROM ev WHERE field IN ('Coating', 'Nitriding type') AND value IS NOT NULL) SELECT doc_id, row_index, field, {canon('m')} AS mapped, {canon('e')} AS extracted FROM n"
+
+
+@query("context_windows", "bom_src")
+def context_windows(d: Spark) -> str:
+    """The lines around each line of a document's text that names a part number's anchor."""
+    w = "OVER (PARTITION BY doc_id ORDER BY row_index)"
+    return f"""WITH l AS (SELECT doc_id, row_index, coalesce(trim(Pos), '') || ' ' || Benennung AS line FROM bom_src), c AS (SELECT doc_id, row_index, line, coalesce(lag(line) {w}, '') || ' | ' || line || ' | ' || coalesce(lead(line) {w}, '') AS context FROM l)
+        SELECT doc_id, row_index, context FROM c WHERE {d.matches('line', r'(^|[^A-Za-z0-9])K-[0-9]+($|[^A-Za-z0-9])')}"""
+
+
+@query("anchor_row_match", "bom_src")
+def anchor_row_match(d: Spark) -> str:
+    """Rows of a document by how many anchor tokens another rendering of it holds; two at least, the best row wins."""
+    hit = lambda x: f"CASE WHEN {x} <> '' AND {d.contains('t', x)} THEN 1 ELSE 0 END"
+    return f"""WITH a AS (SELECT doc_id, row_index, {fn.alnum(d, 'Pos')} AS p, {fn.alnum(d, 'Werkstoff')} AS w, {fn.alnum(d, 'Masse')} AS s FROM bom_src), t AS (SELECT doc_id, row_index AS other, {fn.alnum(d, "coalesce(Pos, '') || coalesce(Werkstoff, '') || coalesce(Masse, '')")} AS t FROM bom_src),
+        j AS (SELECT a.doc_id, a.row_index, other, {hit('p')} + {hit('w')} + {hit('s')} AS score FROM a JOIN t ON a.doc_id = t.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, row_index ORDER BY score DESC, other) AS k FROM j WHERE score >= 2)
+        SELECT doc_id, row_index, other, score FROM r WHERE k = 1"""
+
+
+@query("excel_column_order", "supplier")
+def excel_column_order(d: Spark) -> str:
+    """Columns A to Z before AA; blank ones last."""
+    n = "CAST(s_suppkey AS BIGINT)"
+    letter = "chr(CAST(65 + n % 26 AS INT))"
+    return f"WITH c AS (SELECT {n} AS n FROM supplier), k AS (SELECT n, CASE WHEN n % 17 = 3 THEN '' WHEN n >= 26 THEN chr(CAST(64 + n / 26 AS INT)) || {letter} ELSE {letter} END AS col FROM c WHERE n < 600 AND (n < 26 OR n % 26 < 26)) SELECT n, col, row_number() OVER (ORDER BY CASE WHEN col = '' THEN 10000 ELSE length(col) END, col, n) AS ord FROM k".replace("n / 26", "floor(n / 26)")
+
+
+@query("flag_columns", "bom_src")
+def flag_columns(d: Spark) -> str:
+    """Column of a plausibility flag: what stands before its first colon."""
+    first = d.item(d.split("flag", ":"), 0)
+    return f"WITH f AS (SELECT doc_id, row_index, 'Masse: ' || coalesce(Masse, '') AS flag FROM bom_src) SELECT doc_id, row_index, {first} AS source_column FROM f"
+
+
+@query("text_layer_present", "bom_src")
+def text_layer_present(d: Spark) -> str:
+    return "SELECT doc_id, sum(length(coalesce(Benennung, ''))) >= 50 AS has_text_layer, sum(length(coalesce(Benennung, ''))) < 100 AS is_scanned FROM bom_src GROUP BY doc_id"
+
+
+@query("page_anomalies", "bom_src")
+def page_anomalies(d: Spark) -> str:
+    """Pages of thirty rows of which most rows are mostly empty."""
+    cols = ("Pos", "Reserve", "Masse", "Haerte", "Nitriert", "Werkstoff")
+    empty = " + ".join(f"CASE WHEN {fn.blank(d, c)} THEN 1 ELSE 0 END" for c in cols)
+    return f"WITH r AS (SELECT doc_id, CAST(floor(row_index / 30) AS BIGINT) AS page, CASE WHEN ({empty}) * 2 > {len(cols)} THEN 1 ELSE 0 END AS poor FROM bom_src) SELECT doc_id, page, sum(poor) AS poor_rows, sum(poor) * 2 > count(*) AS anomalous FROM r GROUP BY doc_id, page"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def free(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of finished plans now, not when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop shuffle files of finished plans now, not when the driver next collects garbage.
+
+    Python's references go first, and the cleaner works beside the driver, so it takes two turns.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def materialize(df: DataFrame, clean: bool = False) -> DataFrame:

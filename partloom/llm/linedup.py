@@ -1,10 +1,11 @@
 """Fuzzy line deduplication by MinHash over character shingles (DataFrame functions only).
 
 Equal lines are one line with the place of its first occurrence. Each distinct line gets
-a signature of minima over its shingles of eight characters; lines that agree in a band
-are compared with the first line of the band by the exact Jaccard similarity of their
-shingle sets, then what is not linked to it among itself, and so on. Links are joined by
-distributed union-find, and one line of each component stays: its first occurrence.
+a signature of minima over its shingles of eight characters, taken at word starts and
+every sixth character within a word; lines that agree in a band are compared with the
+first line of the band by the exact Jaccard similarity of their shingle sets, and what
+is not linked to it by an exact set join. Links are joined by distributed union-find,
+and one line of each component stays: its first occurrence.
 """
 
 from __future__ import annotations
@@ -16,90 +17,110 @@ from pyspark.sql import functions as F
 
 from ._util import connected_components, drop, free, materialize
 
-SHINGLE, THRESHOLD = 8, 0.8
-#: 8 bands of 3 rows find a pair at the threshold with probability 0.997.
-BANDS, ROWS = 8, 3
-#: Lines of a band up to which all its pairs are compared once the first line's round is over.
-SMALL = 16
+THRESHOLD = 0.8
+#: Shingles of up to eight characters, from the start of each word and every sixth character within one.
+AT_WORDS = r"(?s)(?=(.{1,8}))(?:\S{1,6}\s*|\s+)"
+#: For lines of long words, or of none: a shingle from each character.
+EVERYWHERE = r"(?s)(?=(.{1,8}))."
+LONG_WORD = 12
+#: 8 bands of 4 rows find a pair at the threshold with probability 0.985, and one of similarity 0.85 with 0.998.
+BANDS, ROWS = 8, 4
+#: With fewer shingles, two sets reach the threshold only if they are equal, and have one band.
+FEW = 4
 
 
 def line_key(line: Column) -> Column:
     """What is compared of a line: all but the white space around it."""
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.trim(line, F.lit(" \t\n\x0b\f\r"))
 
 
-def _units(text: Column) -> Column:
-    return F.encode(text, "UTF-16BE")
+def shingles(line: Column) -> Column:
+    blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    dense = F.length(line) > LONG_WORD * (1 + blanks)
+    return F.when(dense, F.regexp_extract_all(line, F.lit(EVERYWHERE), F.lit(1))).otherwise(F.regexp_extract_all(line, F.lit(AT_WORDS), F.lit(1)))
 
 
-def _shingle(units: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * SHINGLE)))
-
-
-def _last(units: Column) -> Column:
-    return F.greatest(F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE, F.lit(0))
-
-
-def _masks(n: int) -> list[int]:
-    """Fixed numbers that a shingle's hash is combined with; their leading bits differ, so the minima are spread."""
+def _masks() -> list[int]:
+    """A fixed number for each band; their leading bits differ, so that each band's minima are others."""
     rng = random.Random(8)
-    tops = rng.sample(range(64), n)
-    return [((t << 58) | rng.getrandbits(58)) - (1 << 63) for t in tops]
+    return [((b * (64 // BANDS) << 26) | rng.getrandbits(26)) - (1 << 31) for b in range(BANDS)]
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(lid, bands) of (lid, line): hashes of the bands of the line's signature."""
-    at = lines.select("lid", _units(F.col("line")).alias("u")).select("lid", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
-    h = at.select("lid", _shingle(F.col("u"), F.col("i")).alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks(BANDS * ROWS))]
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return h.groupBy("lid").agg(*minima).select("lid", F.array(*bands).alias("bands"))
+    """(lid, bands) of (lid, line): hashes of the bands of the line's signature.
+
+    A row of a band is a hash function, and a band combines its values with a mask: the
+    minimum of a masked hash is that of the shingle nearest to the mask. Hashes have 32
+    bits, for the shuffled minima; what they confuse is told apart by verification.
+    """
+    h = lines.select("lid", F.explode(shingles(F.col("line"))).alias("s")).select("lid", F.hash("s").alias("h"))
+    h = h.select("lid", *[F.hash(F.lit(r), "h").alias(f"h{r}") for r in range(ROWS)])
+    minima = [F.min(F.col(f"h{r}").bitwiseXOR(F.lit(m))).alias(f"m{b}_{r}") for b, m in enumerate(_masks()) for r in range(ROWS)]
+    bands = [F.xxhash64(F.lit(b), *[f"m{b}_{r}" for r in range(ROWS)]) for b in range(BANDS)]
+    whole = F.xxhash64(F.lit(BANDS), *[f"m{b}_{r}" for b in range(BANDS) for r in range(ROWS)])
+    return h.groupBy("lid").agg(F.count("*").alias("n"), *minima).select("lid", F.when(F.col("n") < FEW, F.array(whole)).otherwise(F.array(*bands)).alias("bands"))
 
 
 def shingle_set(line: Column) -> Column:
-    u = _units(line)
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _shingle(u, i)))
+    return F.array_distinct(F.transform(shingles(line), lambda s: F.hash(s)))
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (a, b) at or over the threshold."""
-    a = texts.select(F.col("lid").alias("a"), F.col("line").alias("la"))
-    b = texts.select(F.col("lid").alias("b"), F.col("line").alias("lb"))
-    # A set has a shingle for each character at most, and sets of very unlike size cannot reach the threshold.
+    a = sets.select(F.col("lid").alias("a"), F.col("s").alias("sa"))
+    b = sets.select(F.col("lid").alias("b"), F.col("s").alias("sb"))
     p = pairs.join(a, "a").join(b, "b")
-    s = p.select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
     near = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return s.where(near).where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return p.where(near).where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) between rows of ``lines`` (lid, line; lines differ), enough to join every component found."""
+    """Links (a, b) between rows of ``lines`` (lid, line; lines differ), enough to join every component found.
+
+    Every line is compared with the first of each of its bands. These links make
+    components; where a band holds several, one line of each takes part in an exact
+    join of their sets (:func:`_prefix_pairs`), so that no band is paired out.
+    """
     signed = materialize(signatures(lines), clean=True)
     banded = signed.select("lid", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("lid").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    rest = materialize(banded.join(hubs.hint("shuffle_hash"), "band").select("band", "lid", "hub", "n"), clean=True)
+    hubs = banded.groupBy("band").agg(F.min("lid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = materialize(banded.join(hubs.hint("shuffle_hash"), "band").select("band", "lid", "hub"), clean=True)
     drop(signed)
-    texts = materialize(lines.join(rest.select("lid").distinct(), "lid", "left_semi"), clean=True)
-    links, made = None, [texts, rest]
-    while True:
-        pairs = rest.where("lid <> hub").select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
-        found = materialize(_similar(pairs, texts, threshold))
-        links = found if links is None else links.union(found)
-        # What is not linked to the first line of its band is compared among itself.
-        left = rest.where("lid <> hub").join(found.select(F.col("a").alias("hub"), F.col("b").alias("lid")), ["hub", "lid"], "left_anti").select("band", "lid")
-        hubs = left.groupBy("band").agg(F.min("lid").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        rest = materialize(left.join(hubs, "band"))
-        made.append(rest)
-        small = rest.where(F.col("n") <= SMALL)
-        if not small.isEmpty():
-            x = small.select("band", F.col("lid").alias("a"))
-            y = small.select("band", F.col("lid").alias("b"))
-            pairs = x.join(y, "band").where("a < b").select("a", "b").distinct()
-            links = links.union(found := materialize(_similar(pairs, texts, threshold)))
-        rest = rest.where(F.col("n") > SMALL)
-        if rest.isEmpty():
-            return links
+    sets = materialize(lines.join(met.select("lid").distinct(), "lid", "left_semi").select("lid", shingle_set(F.col("line")).alias("s")), clean=True)
+    tried = met.where("lid <> hub").select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
+    links = materialize(_similar(tried, sets, threshold), clean=True)
+    comps = connected_components(links, "a", "b").withColumnRenamed("node", "lid")
+    one = met.select("band", "lid").join(comps, "lid", "left").groupBy("band", F.coalesce("component", "lid").alias("component")).agg(F.min("lid").alias("lid"))
+    several = one.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    left = one.join(several, "band").select("lid").distinct()
+    pairs = _prefix_pairs(sets.join(left, "lid", "left_semi"), threshold)
+    more = materialize(_similar(pairs, sets, threshold), clean=True)
+    drop(met)
+    return links.union(more)
+
+
+def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (lid, s) that can reach the threshold, none that does left out.
+
+    Two such sets share one of the rarest ``(1 - threshold) * size + 1`` elements of
+    either, and their sizes differ by less than the threshold's factor: the sizes fall
+    into one class of a scale by that factor, or into neighbouring ones.
+    """
+    n = F.size("s")
+    each = sets.select("lid", n.alias("n"), F.explode("s").alias("x"))
+    rare = each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    known = each.join(rare, "x").groupBy("lid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    # Elements of one set alone are the rarest, and pair with nothing.
+    width = F.floor(F.col("n") * (1 - threshold) + 1e-9).cast("int") + 1 - (F.col("n") - F.size("xs"))
+    keys = known.where(width > 0).select("lid", "n", F.explode(F.slice("xs", 1, F.least(width, F.size("xs")))["x"]).alias("x"))
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
+    keys = keys.withColumn("step", step)
+    a = keys.select("x", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("lid").alias("a"), F.col("n").alias("na"), F.col("step").alias("own"))
+    b = keys.select("x", "step", F.col("lid").alias("b"), F.col("n").alias("nb"))
+    ordered = F.when(F.col("own") == F.col("step"), F.col("a") < F.col("b")).otherwise(F.lit(True))
+    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+    return a.join(b, ["x", "step"]).where(ordered & near).select("a", "b").distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -131,7 +152,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     decided = fuzzy.union(exact.select("h1", "h2", F.col("lid").alias("component"), F.col("d").alias("keep")))
     decided = materialize(decided, clean=True)
     at = each.select("d", "th", "pos", *same).join(decided, ["h1", "h2"])
-    first = F.row_number().over(Window.partitionBy("d", "component").orderBy("pos", "th"))
+    first = F.rank().over(Window.partitionBy("d", "component").orderBy("pos", "th"))
     at = at.withColumn("k", first).where("d <> keep or k > 1")
     gone = at.groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))
     x = docs.withColumns({"_d": order, "_th": F.xxhash64("text")})

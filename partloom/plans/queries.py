@@ -199,9 +199,9 @@ def completeness_verdict(d: Spark) -> str:
 @query("counter_check_batches", "ev")
 def counter_check_batches(d: Spark) -> str:
     """Deferred checks by page in batches of twelve."""
-    return f"""{facts(d)}, c AS (SELECT doc_id, row_index, field_ord, CAST(floor(row_index / 3) AS BIGINT) AS page FROM verified WHERE gate = 'GREEN'),
-        n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY row_index, field_ord) - 1 AS k FROM c)
-        SELECT doc_id, page, CAST(floor(k / 12) AS BIGINT) AS batch, count(*) AS n FROM n GROUP BY doc_id, page, CAST(floor(k / 12) AS BIGINT)"""
+    return f"""{facts(d)}, c AS (SELECT doc_id, row_index, field_ord, CAST(floor(row_index / 3) AS BIGINT) AS page, CASE WHEN gate = 'GREEN' THEN 1 ELSE 0 END AS g FROM verified),
+        n AS (SELECT doc_id, page, g, sum(g) OVER (PARTITION BY doc_id, page ORDER BY row_index, field_ord) AS k FROM c)
+        SELECT doc_id, page, CAST(floor((k - 1) / 12) AS BIGINT) AS batch, count(*) AS n FROM n WHERE g = 1 GROUP BY doc_id, page, CAST(floor((k - 1) / 12) AS BIGINT)"""
 
 
 # Cross-validation.
@@ -254,9 +254,8 @@ def cv_counts(d: Spark) -> str:
 @query("cv_weight_density", "bom_src")
 def cv_weight_density(d: Spark) -> str:
     """Weight against volume times density; the part's retail size stands for the weight here."""
-    x, y, z = (f"TRY_CAST({fn.dimension(d, 'Masse', a)} AS DOUBLE)" for a in "xyz")
-    return f"""WITH w AS (SELECT doc_id, row_index, {x} * {y} * {z} / 1000000.0 * CAST({fn.density(d, 'Werkstoff')} AS DOUBLE) AS expected, CAST(l_partkey % 7 AS DOUBLE) / 2 AS weight FROM bom_src)
-        SELECT doc_id, row_index, 'error' AS severity FROM w WHERE expected > 0 AND (weight / expected < 0.1 OR weight / expected > 10)"""
+    stages = [{a: f"TRY_CAST({fn.dimension(d, 'Masse', a)} AS DOUBLE)" for a in "xyz"} | {"rho": f"CAST({fn.density(d, 'Werkstoff')} AS DOUBLE)"}, {"ratio": "CAST(l_partkey % 7 AS DOUBLE) / 2 / nullif(x * y * z / 1000000.0 * rho, 0)"}]
+    return f"WITH w AS ({transform.staged_sql('bom_src', stages)}), m AS (SELECT doc_id, row_index, max(ratio) AS ratio FROM w GROUP BY doc_id, row_index) SELECT doc_id, row_index, 'error' AS severity FROM m WHERE ratio < 0.1 OR ratio > 10"
 
 
 @query("cv_issue_counts", "cells")
@@ -440,7 +439,8 @@ def apply_row_exclusions(d: Spark) -> str:
 
 @query("review_queue", "ev")
 def review_queue(d: Spark) -> str:
-    return f"{facts(d)} SELECT doc_id, row_index, min(field_ord) AS first_open, count(*) AS n_open FROM verified WHERE class IN ('YELLOW', 'RED') GROUP BY doc_id, row_index"
+    opened = "CASE WHEN class IN ('YELLOW', 'RED') THEN field_ord END"
+    return f"{facts(d)}, o AS (SELECT doc_id, row_index, {opened} AS open_field FROM verified) SELECT doc_id, row_index, min(open_field) AS first_open, count(open_field) AS n_open FROM o GROUP BY doc_id, row_index HAVING count(open_field) > 0"
 
 
 @query("correction_audit_lookup", "correction", "cells")

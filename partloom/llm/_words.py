@@ -16,7 +16,7 @@ MUL2 = np.uint64(0xD6E8FEB86659FD93)
 class WordHashes(dict):
     """64-bit hash of each word, remembered for up to ``LIMIT`` words."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

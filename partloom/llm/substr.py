@@ -40,9 +40,9 @@ def _window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def _chosen(h: np.ndarray) -> np.ndarray:
+def _chosen(runs: np.ndarray) -> np.ndarray:
     """For each window of ``WINDOW`` words, the hash of its winnowed run."""
-    return _window_minima(rolling(h, RUN), WINDOW - RUN + 1)
+    return _window_minima(runs, WINDOW - RUN + 1)
 
 
 def _labels(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,19 +80,22 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            ds, hs = [], []
+            ds, hs, ns = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 w = WORD.findall(t.as_py())
                 if len(w) >= WINDOW:
-                    r = np.unique(_chosen(cache.of(w)))
-                    hs.append(r)
-                    ds.append(np.full(len(r), d, np.int64))
+                    runs = rolling(cache.of(w), RUN)
+                    chosen = np.unique(_chosen(runs))
+                    runs.sort()  # a run may stand more than once in one document
+                    hs.append(chosen)
+                    ns.append(np.searchsorted(runs, chosen, "right") - np.searchsorted(runs, chosen, "left"))
+                    ds.append(np.full(len(chosen), d, np.int64))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ds)), pa.array(np.concatenate(hs).view(np.int64))], names=["d", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ds)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ns).astype(np.int32))], names=["d", "h", "n"])
 
-    seeds = materialize(d.select("d", "text").mapInArrow(winnow, "d bigint, h bigint"))
-    counts = seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    of_doc = seeds.join(counts, "h").groupBy("d").agg(F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    seeds = materialize(d.select("d", "text").mapInArrow(winnow, "d bigint, h bigint, n int"))
+    counts = seeds.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    of_doc = seeds.select("d", "h").join(counts, "h").groupBy("d").agg(F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     of_doc = materialize(of_doc, clean=True)
     drop(seeds)
 
@@ -104,7 +107,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 h = cache.of(WORD.findall(t.as_py()))
                 if len(h) < WINDOW:
                     continue
-                chosen = _chosen(h)
+                chosen = _chosen(rolling(h, RUN))
                 is_hot = np.isin(chosen, np.asarray(hot.values).view(np.uint64))
                 pos = np.flatnonzero(is_hot | np.isin(chosen, np.asarray(cold.values).view(np.uint64)))
                 salt = np.where(is_hot[pos], d % SALTS + 1, 0)
@@ -123,15 +126,18 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays([pa.array(c.view(k) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        label_of, first_of = None, (0, 0)
         for b in batches:
             if not b.num_rows:
                 continue
             prefix, label, salt, d, pos = (b.column(k).to_numpy() for k in range(5))
-            same = np.zeros(len(label), bool)
-            same[1:] = (prefix[1:] == prefix[:-1]) & (label[1:] == label[:-1]) & (salt[1:] == salt[:-1])
-            same[0] = last == (prefix[0], label[0], salt[0])
-            last = (prefix[-1], label[-1], salt[-1])
+            new = np.ones(len(label), bool)
+            new[1:] = (prefix[1:] != prefix[:-1]) | (label[1:] != label[:-1]) | (salt[1:] != salt[:-1])
+            new[0] = label_of != (prefix[0], label[0], salt[0])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            d0, pos0 = np.where(at < 0, first_of[0], d[at]), np.where(at < 0, first_of[1], pos[at])
+            label_of, first_of = (prefix[-1], label[-1], salt[-1]), (d0[-1], pos0[-1])
+            same = (d != d0) | (pos != pos0)  # rows that repeat are one document
             keep = same | (salt > 0)
             first = (salt > 0) & ~same  # the label is needed once more for these alone
             out = [np.where(first, prefix, 0), np.where(first, label, 0), np.where(first, salt, 0).astype(np.int8), d, pos]

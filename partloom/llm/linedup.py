@@ -3,7 +3,7 @@
 Equal lines are one line with the place of its first occurrence. Each distinct line gets
 a signature of minima over its shingles of eight characters, taken at word starts and
 every sixth character within a word; lines that agree in a band are compared with the
-first line of the band by the exact Jaccard similarity of their shingle sets, and what
+most frequent of the band by the exact Jaccard similarity of their shingle sets, and what
 is not linked to it by an exact set join. Links are joined by distributed union-find,
 and one line of each component stays: its first occurrence.
 """
@@ -47,18 +47,18 @@ def _masks() -> list[int]:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(lid, bands) of (lid, line): hashes of the bands of the line's signature.
+    """(lid, rank, bands) of (lid, rank, line): hashes of the bands of the line's signature.
 
     A row of a band is a hash function, and a band combines its values with a mask: the
     minimum of a masked hash is that of the shingle nearest to the mask. Hashes have 32
     bits, for the shuffled minima; what they confuse is told apart by verification.
     """
-    h = lines.select("lid", F.explode(shingles(F.col("line"))).alias("s")).select("lid", F.hash("s").alias("h"))
-    h = h.select("lid", *[F.hash(F.lit(r), "h").alias(f"h{r}") for r in range(ROWS)])
+    h = lines.select("lid", "rank", F.explode(shingles(F.col("line"))).alias("s")).select("lid", "rank", F.hash("s").alias("h"))
+    h = h.select("lid", "rank", *[F.hash(F.lit(r), "h").alias(f"h{r}") for r in range(ROWS)])
     minima = [F.min(F.col(f"h{r}").bitwiseXOR(F.lit(m))).alias(f"m{b}_{r}") for b, m in enumerate(_masks()) for r in range(ROWS)]
     bands = [F.xxhash64(F.lit(b), *[f"m{b}_{r}" for r in range(ROWS)]) for b in range(BANDS)]
     whole = F.xxhash64(F.lit(BANDS), *[f"m{b}_{r}" for b in range(BANDS) for r in range(ROWS)])
-    return h.groupBy("lid").agg(F.count("*").alias("n"), *minima).select("lid", F.when(F.col("n") < FEW, F.array(whole)).otherwise(F.array(*bands)).alias("bands"))
+    return h.groupBy("lid", "rank").agg(F.count("*").alias("n"), *minima).select("lid", "rank", F.when(F.col("n") < FEW, F.array(whole)).otherwise(F.array(*bands)).alias("bands"))
 
 
 def shingle_set(line: Column) -> Column:
@@ -76,15 +76,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) between rows of ``lines`` (lid, line; lines differ), enough to join every component found.
+    """Links (a, b) between rows of ``lines`` (lid, line, n copies; lines differ), enough to join every component found.
 
-    Every line is compared with the first of each of its bands. These links make
+    Every line is compared with the line of most copies in each of its bands. These links make
     components; where a band holds several, one line of each takes part in an exact
     join of their sets (:func:`_prefix_pairs`), so that no band is paired out.
     """
-    signed = materialize(signatures(lines), clean=True)
-    banded = signed.select("lid", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("lid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Rank of a line: its copies, then a hash. An original has more copies than its variants.
+    rank = F.call_function("shiftleft", F.least("n", F.lit(1 << 22)).cast("long"), F.lit(40)) + F.pmod(F.xxhash64("lid"), F.lit(1 << 40))
+    signed = materialize(signatures(lines.withColumn("rank", rank)), clean=True)
+    banded = signed.select("lid", "rank", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.max_by("lid", "rank").alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
     met = materialize(banded.join(hubs.hint("shuffle_hash"), "band").select("band", "lid", "hub"), clean=True)
     drop(signed)
     sets = materialize(lines.join(met.select("lid").distinct(), "lid", "left_semi").select("lid", shingle_set(F.col("line")).alias("s")), clean=True)
@@ -105,7 +107,8 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
     Two such sets share one of the rarest ``(1 - threshold) * size + 1`` elements of
     either, and their sizes differ by less than the threshold's factor: the sizes fall
-    into one class of a scale by that factor, or into neighbouring ones.
+    into one class of a scale by that factor, or into neighbouring ones. What only one
+    set holds is not in common, so the rest of either must make up the overlap needed.
     """
     n = F.size("s")
     each = sets.select("lid", n.alias("n"), F.explode("s").alias("x"))
@@ -113,14 +116,15 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     known = each.join(rare, "x").groupBy("lid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
     # Elements of one set alone are the rarest, and pair with nothing.
     width = F.floor(F.col("n") * (1 - threshold) + 1e-9).cast("int") + 1 - (F.col("n") - F.size("xs"))
-    keys = known.where(width > 0).select("lid", "n", F.explode(F.slice("xs", 1, F.least(width, F.size("xs")))["x"]).alias("x"))
+    keys = known.where(width > 0).select("lid", "n", F.size("xs").alias("m"), F.explode(F.slice("xs", 1, F.least(width, F.size("xs")))["x"]).alias("x"))
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
     keys = keys.withColumn("step", step)
-    a = keys.select("x", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("lid").alias("a"), F.col("n").alias("na"), F.col("step").alias("own"))
-    b = keys.select("x", "step", F.col("lid").alias("b"), F.col("n").alias("nb"))
+    a = keys.select("x", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("lid").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("step").alias("own"))
+    b = keys.select("x", "step", F.col("lid").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
     ordered = F.when(F.col("own") == F.col("step"), F.col("a") < F.col("b")).otherwise(F.lit(True))
     near = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    return a.join(b, ["x", "step"]).where(ordered & near).select("a", "b").distinct()
+    enough = F.least("ma", "mb") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    return a.join(b, ["x", "step"]).where(ordered & near & enough).select("a", "b").distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -142,7 +146,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     same = (F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
     distinct = each.groupBy("line").agg(F.min("d").alias("d"), F.count("*").alias("n"))
     lines = materialize(distinct.select("line", "d", "n", *same, F.monotonically_increasing_id().alias("lid")), clean=True)
-    links = similar_lines(lines.select("lid", "line"), threshold)
+    links = similar_lines(lines.select("lid", "line", "n"), threshold)
     comps = connected_components(links, "a", "b").withColumnRenamed("node", "lid")
     free(spark)
     fuzzy = lines.select("lid", "h1", "h2", "d").join(comps, "lid")

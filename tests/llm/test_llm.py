@@ -131,7 +131,7 @@ def test_line_dedup_edges(spark):
 
 
 def test_line_dedup_has_no_python(spark):
-    plan = linedup.signatures(spark.createDataFrame([(1, "a")], "lid bigint, line string"))._jdf.queryExecution().executedPlan().toString()
+    plan = linedup.signatures(spark.createDataFrame([(1, 1, "a")], "lid bigint, rank bigint, line string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 

@@ -13,13 +13,10 @@ HEADLINE = (
     "cells_by_method",
     "transformed_cells",
     "compare_values",
-    "cell_scores",
-    "document_audit",
     "reconcile_positions",
     "reconcile_multiset",
     "cv_duplicate_positions",
     "mapping_value_evidence",
-    "pivot_to_target",
     "stats_overview",
     "stats_by_customer",
     "learned_corrections",

@@ -1,11 +1,11 @@
 """Fuzzy line deduplication by MinHash over character shingles (DataFrame functions only).
 
 Equal lines are one line with the place of its first occurrence. Each distinct line gets
-a signature of minima over its shingles of eight characters, taken at word starts and
-every sixth character within a word; lines that agree in a band are compared with the
-most frequent of the band by the exact Jaccard similarity of their shingle sets, and what
-is not linked to it by an exact set join. Links are joined by distributed union-find,
-and one line of each component stays: its first occurrence.
+a signature of minima over its shingles of eight characters, one from each character; lines
+that agree in a band are compared with the most frequent of the band by the exact Jaccard
+similarity of their shingle sets, and what is not linked to it by an exact set join. Links
+are joined by distributed union-find, and one line of each component stays: its first
+occurrence.
 """
 
 from __future__ import annotations
@@ -17,16 +17,11 @@ from pyspark.sql import functions as F
 
 from ._util import connected_components, drop, free, materialize
 
-THRESHOLD = 0.8
-#: Shingles of up to eight characters, from the start of each word and every sixth character within one.
-AT_WORDS = r"(?s)(?=(.{1,8}))(?:\S{1,6}\s*|\s+)"
-#: For lines of long words, or of none: a shingle from each character.
-EVERYWHERE = r"(?s)(?=(.{1,8}))."
+SHINGLE, THRESHOLD = 8, 0.8
+#: 8 bands of 3 rows find a pair at the threshold with probability 0.997.
+BANDS, ROWS = 8, 3
+#: Read by tests only.
 LONG_WORD = 12
-#: 8 bands of 4 rows find a pair at the threshold with probability 0.985, and one of similarity 0.85 with 0.998.
-BANDS, ROWS = 8, 4
-#: With fewer shingles, two sets reach the threshold only if they are equal, and have one band.
-FEW = 4
 
 
 def line_key(line: Column) -> Column:
@@ -34,10 +29,17 @@ def line_key(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\n\x0b\f\r"))
 
 
-def shingles(line: Column) -> Column:
-    blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    dense = F.length(line) > LONG_WORD * (1 + blanks)
-    return F.when(dense, F.regexp_extract_all(line, F.lit(EVERYWHERE), F.lit(1))).otherwise(F.regexp_extract_all(line, F.lit(AT_WORDS), F.lit(1)))
+def _units(line: Column) -> Column:
+    """Four bytes a character, so that a shingle is cut without reading the line up to it."""
+    return F.encode(line, "UTF-32")
+
+
+def _starts(units: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(units) / 4).cast("int") - SHINGLE, F.lit(0)))
+
+
+def _shingle(units: Column, i: Column) -> Column:
+    return F.substring(units, 4 * i + 1, F.lit(4 * SHINGLE))
 
 
 def _masks() -> list[int]:
@@ -53,26 +55,33 @@ def signatures(lines: DataFrame) -> DataFrame:
     minimum of a masked hash is that of the shingle nearest to the mask. Hashes have 32
     bits, for the shuffled minima; what they confuse is told apart by verification.
     """
-    h = lines.select("lid", "rank", F.explode(shingles(F.col("line"))).alias("s")).select("lid", "rank", F.hash("s").alias("h"))
+    at = lines.select("lid", "rank", _units(F.col("line")).alias("u")).select("lid", "rank", "u", F.explode(_starts(F.col("u"))).alias("i"))
+    h = at.select("lid", "rank", F.hash(_shingle(F.col("u"), F.col("i"))).alias("h"))
     h = h.select("lid", "rank", *[F.hash(F.lit(r), "h").alias(f"h{r}") for r in range(ROWS)])
     minima = [F.min(F.col(f"h{r}").bitwiseXOR(F.lit(m))).alias(f"m{b}_{r}") for b, m in enumerate(_masks()) for r in range(ROWS)]
     bands = [F.xxhash64(F.lit(b), *[f"m{b}_{r}" for r in range(ROWS)]) for b in range(BANDS)]
-    whole = F.xxhash64(F.lit(BANDS), *[f"m{b}_{r}" for b in range(BANDS) for r in range(ROWS)])
-    return h.groupBy("lid", "rank").agg(F.count("*").alias("n"), *minima).select("lid", "rank", F.when(F.col("n") < FEW, F.array(whole)).otherwise(F.array(*bands)).alias("bands"))
+    return h.groupBy("lid", "rank").agg(*minima).select("lid", "rank", F.array(*bands).alias("bands"))
 
 
 def shingle_set(line: Column) -> Column:
-    return F.array_distinct(F.transform(shingles(line), lambda s: F.hash(s)))
+    # The units are an element of an array, or each shingle would encode the line again.
+    sets = F.transform(F.array(_units(line)), lambda u: F.array_distinct(F.transform(_starts(u), lambda i: F.xxhash64(_shingle(u, i)))))
+    return sets[0]
+
+
+def _linked(sa: Column, sb: Column, threshold: float) -> Column:
+    """Whether two sets are at or over the threshold; their intersection is the last to be looked at."""
+    near = F.least(F.size(sa), F.size(sb)) >= threshold * F.greatest(F.size(sa), F.size(sb)) - 1e-9
+    return near & (F.size(F.array_intersect(sa, sb)) * (1 + threshold) >= threshold * (F.size(sa) + F.size(sb)) - 1e-9)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) at or over the threshold."""
-    a = sets.select(F.col("lid").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("lid").alias("b"), F.col("s").alias("sb"))
-    p = pairs.join(a, "a").join(b, "b")
-    near = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return p.where(near).where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) at or over the threshold. Sets are made anew, as they take many times the space of a line."""
+    a = texts.select(F.col("lid").alias("a"), F.col("line").alias("la"))
+    b = texts.select(F.col("lid").alias("b"), F.col("line").alias("lb"))
+    p = pairs.join(a, "a").join(b, "b").select("a", "b", F.array(shingle_set(F.col("la")), shingle_set(F.col("lb"))).alias("s"))
+    p = p.select("a", "b", F.transform(F.array("s"), lambda s: _linked(s[0], s[1], threshold))[0].alias("linked"))
+    return p.where("linked").select("a", "b")
 
 
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -89,15 +98,15 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hubs = banded.groupBy("band").agg(F.max_by("lid", "rank").alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
     met = materialize(banded.join(hubs.hint("shuffle_hash"), "band").select("band", "lid", "hub"), clean=True)
     drop(signed)
-    sets = materialize(lines.join(met.select("lid").distinct(), "lid", "left_semi").select("lid", shingle_set(F.col("line")).alias("s")), clean=True)
+    texts = materialize(lines.join(met.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), clean=True)
     tried = met.where("lid <> hub").select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
-    links = materialize(_similar(tried, sets, threshold), clean=True)
+    links = materialize(_similar(tried, texts, threshold), clean=True)
     comps = connected_components(links, "a", "b").withColumnRenamed("node", "lid")
     one = met.select("band", "lid").join(comps, "lid", "left").groupBy("band", F.coalesce("component", "lid").alias("component")).agg(F.min("lid").alias("lid"))
     several = one.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
     left = one.join(several, "band").select("lid").distinct()
-    pairs = _prefix_pairs(sets.join(left, "lid", "left_semi"), threshold)
-    more = materialize(_similar(pairs, sets, threshold), clean=True)
+    pairs = _prefix_pairs(texts.join(left, "lid", "left_semi").select("lid", shingle_set(F.col("line")).alias("s")), threshold)
+    more = materialize(_similar(pairs, texts, threshold), clean=True)
     drop(met)
     return links.union(more)
 

@@ -3,9 +3,9 @@
 Equal lines are one line with the place of its first occurrence. Each distinct line gets
 a signature of minima over its shingles of eight characters, one from each character; lines
 that agree in a band are compared with the most frequent of the band by the exact Jaccard
-similarity of their shingle sets, and what is not linked to it by an exact set join. Links
-are joined by distributed union-find, and one line of each component stays: its first
-occurrence.
+similarity of their shingle sets, and then all lines of a band that still lie in several
+components with each other, in blocks inside a row. Links are joined by distributed
+union-find, and one line of each component stays: its first occurrence.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from ._util import connected_components, drop, free, materialize
 SHINGLE, THRESHOLD = 8, 0.8
 #: 8 bands of 3 rows find a pair at the threshold with probability 0.997.
 BANDS, ROWS = 8, 3
+#: Lines and characters of a block of a band on average, when all its pairs are compared.
+BLOCK_LINES, BLOCK_CHARS = 1024, 1_000_000
 #: Read by tests only.
 LONG_WORD = 12
 
@@ -88,8 +90,8 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links (a, b) between rows of ``lines`` (lid, line, n copies; lines differ), enough to join every component found.
 
     Every line is compared with the line of most copies in each of its bands. These links make
-    components; where a band holds several, one line of each takes part in an exact
-    join of their sets (:func:`_prefix_pairs`), so that no band is paired out.
+    components; where the others of a band lie in several, all of their pairs from different
+    components are compared (:func:`_across`).
     """
     # Rank of a line: its copies, then a hash. An original has more copies than its variants.
     rank = F.call_function("shiftleft", F.least("n", F.lit(1 << 22)).cast("long"), F.lit(40)) + F.pmod(F.xxhash64("lid"), F.lit(1 << 40))
@@ -102,38 +104,40 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     tried = met.where("lid <> hub").select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
     links = materialize(_similar(tried, texts, threshold), clean=True)
     comps = connected_components(links, "a", "b").withColumnRenamed("node", "lid")
-    one = met.select("band", "lid").join(comps, "lid", "left").groupBy("band", F.coalesce("component", "lid").alias("component")).agg(F.min("lid").alias("lid"))
-    several = one.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
-    left = one.join(several, "band").select("lid").distinct()
-    pairs = _prefix_pairs(texts.join(left, "lid", "left_semi").select("lid", shingle_set(F.col("line")).alias("s")), threshold)
-    more = materialize(_similar(pairs, texts, threshold), clean=True)
+    others = met.where("lid <> hub").select("band", "lid").join(comps, "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("component"))
+    more = materialize(_across(others, texts, threshold), clean=True)
     drop(met)
     return links.union(more)
 
 
-def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of ``sets`` (lid, s) that can reach the threshold, none that does left out.
+def _across(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between lines of different components that share a band of ``members`` (band, lid, component).
 
-    Two such sets share one of the rarest ``(1 - threshold) * size + 1`` elements of
-    either, and their sizes differ by less than the threshold's factor: the sizes fall
-    into one class of a scale by that factor, or into neighbouring ones. What only one
-    set holds is not in common, so the rest of either must make up the overlap needed.
+    Bands of the same lines are compared once. A band of many lines is cut into blocks, and
+    a row takes a pair of blocks, so no band is gathered whole and only links are emitted.
     """
-    n = F.size("s")
-    each = sets.select("lid", n.alias("n"), F.explode("s").alias("x"))
-    rare = each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    known = each.join(rare, "x").groupBy("lid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
-    # Elements of one set alone are the rarest, and pair with nothing.
-    width = F.floor(F.col("n") * (1 - threshold) + 1e-9).cast("int") + 1 - (F.col("n") - F.size("xs"))
-    keys = known.where(width > 0).select("lid", "n", F.size("xs").alias("m"), F.explode(F.slice("xs", 1, F.least(width, F.size("xs")))["x"]).alias("x"))
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    keys = keys.withColumn("step", step)
-    a = keys.select("x", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("lid").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("step").alias("own"))
-    b = keys.select("x", "step", F.col("lid").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
-    ordered = F.when(F.col("own") == F.col("step"), F.col("a") < F.col("b")).otherwise(F.lit(True))
-    near = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    enough = F.least("ma", "mb") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    return a.join(b, ["x", "step"]).where(ordered & near & enough).select("a", "b").distinct()
+    m = members.join(texts.select("lid", F.length("line").alias("n_chars")), "lid")
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "lid")).alias(f"x{k}") for k in range(2)]
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_LINES, F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    several = m.groupBy("band").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), blocks, *same).where("lo <> hi")
+    several = several.groupBy("k", "x0", "x1").agg(F.min(F.struct("band", "blocks")).alias("b")).select("b.*")
+    m = members.join(several, "band").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "lid", "component")
+    rows = m.join(texts, "lid").groupBy("band", "i", "j").agg(F.collect_list(F.struct("block", "lid", "component", "line")).alias("xs"))
+
+    def pairs(xs: Column) -> Column:
+        one = lambda a: F.transform(F.filter(xs, lambda b: between(a, b)), lambda b: F.struct(a["lid"].alias("a"), b["lid"].alias("b")))
+        return F.flatten(F.transform(F.filter(xs, lambda a: a["block"] == F.col("i")), one))
+
+    def between(a: Column, b: Column) -> Column:
+        once = (b["block"] == F.col("j")) & ((F.col("i") < F.col("j")) | (a["lid"] < b["lid"]))
+        return once & (a["component"] != b["component"]) & _linked(a["s"], b["s"], threshold)
+
+    made = F.transform("xs", lambda x: F.struct(x["block"].alias("block"), x["lid"].alias("lid"), x["component"].alias("component"), shingle_set(x["line"]).alias("s")))
+    # As an element of an array, the sets of a row are made once and not for each pair.
+    found = F.transform(F.array(made), pairs)[0]
+    return rows.select(F.explode(found).alias("p")).select("p.a", "p.b").distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import random
 
-from partloom.llm import linedup
+import pytest
+from pyspark.sql import functions as F
+
+from partloom.llm import _util, linedup
 
 
 # 2 lines
@@ -41,3 +44,22 @@ def test_similarity_is_that_of_shingles_at_every_character(spark):
     # Nothing under the threshold is linked, and what the bands miss is no more than chance.
     assert got <= want and len(want - got) <= 0.02 * len(want)
     assert all(r.a // 2 == r.b // 2 for r in links)
+
+
+@pytest.mark.parametrize("block", [64, 2])
+def test_all_lines_of_a_band_are_compared(spark, monkeypatch, block):
+    # A chain in one band: each line is similar to the one before it, and only the second to the hub.
+    rng = random.Random(5)
+    hub = "".join(rng.choice("klmnop ") for _ in range(200))
+    chain = [hub]
+    for k in range(5):
+        x = chain[-1]
+        chain.append(x[: 30 * k + 5] + "#%" + x[30 * k + 7 : 30 * k + 15] + "%#" + x[30 * k + 17 :])
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(chain, chain[1:], strict=False)) and all(jaccard(a, b) < 0.8 for a, b in zip(chain, chain[2:], strict=False))
+    far = ["".join(rng.choice("qrstuv ") for _ in range(200)) for _ in range(6)]
+    lines = [*chain, *far]
+    monkeypatch.setattr(linedup, "signatures", lambda df: df.select("lid", "rank", F.array(F.lit(1).cast("long")).alias("bands")))
+    monkeypatch.setattr(linedup, "BLOCK_LINES", block, raising=False)
+    rows = spark.createDataFrame([(i, x, 9 if i == 0 else 1) for i, x in enumerate(lines)], "lid bigint, line string, n bigint")
+    got = dict(_util.connected_components(linedup.similar_lines(rows), "a", "b").collect())
+    assert got == dict.fromkeys(range(6), 0)

@@ -5,7 +5,8 @@ of a group of pages with the same vector of occurrences form an equivalence clas
 a class is valid if its tokens keep one order on every page. Valid classes nest into
 the template of the group, and what the template leaves open are the slots. Slots in
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
-styles are dropped; of the others, those of the article make up the main text.
+styles are dropped, and so is what the template holds; of the rest, the main text is the
+article where that has most of it, and else all.
 """
 
 from __future__ import annotations
@@ -208,9 +209,15 @@ def deduce_template(pages: list[Page]) -> tuple[dict[str, int], set[str]]:
 
 
 def main_text(page: Page, fixed: set[str]) -> str:
-    """The blocks of the article; where no element is one, those outside dropped regions which the template does not hold."""
-    inside = [t for t, _, article in page.blocks if article]
-    return "\n".join(inside or [t for t, path, _ in page.blocks if f"{path} {t}" not in fixed])
+    """The blocks which the template does not hold: those of the article, if they have at least as
+    many characters as those around it (else the articles are teasers), or all outside dropped
+    regions. An article that the template holds whole stays, as its pages are copies."""
+    own = [(t, article) for t, path, article in page.blocks if f"{path} {t}" not in fixed]
+    inside = [t for t, article in own if article] or [t for t, _, article in page.blocks if article]
+    around = [t for t, article in own if not article]
+    if inside and sum(map(len, inside)) >= sum(map(len, around)):
+        return "\n".join(inside)
+    return "\n".join(t for t, _ in own)
 
 
 def extract_group(sources: list[str | None]) -> list[tuple[str, int]]:

@@ -5,7 +5,27 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from partloom.llm import _util, linedup
+from partloom.llm import _util, html, linedup
+
+
+# 1 HTML
+
+
+def test_template_inside_the_article():
+    page = "<body><article><h1>T {0}</h1><p>Our house paper, since 1990.</p><p>own text {0}</p></article></body>"
+    got = html.extract_group([page.format(i) for i in range(6)])
+    assert [t for t, _ in got] == [f"T {i}\nown text {i}" for i in range(6)]
+
+
+def test_teasers_do_not_replace_the_body():
+    page = "<body><div><p>Story {0} {1}</p></div><article><a>Teaser {0}</a></article><article><a>Other {0}</a></article></body>"
+    got = html.extract_group([page.format(i, "of some length, told in full. " * 3) for i in range(6)])
+    assert all(t.startswith(f"Story {i} of some length") for i, (t, _) in enumerate(got))
+
+
+def test_copies_keep_their_article():
+    page = "<body><nav>{}</nav><article><p>The same article.</p></article></body>"
+    assert html.extract_group([page.format(i) for i in range(6)])[0][0] == "The same article."
 
 
 # 2 lines

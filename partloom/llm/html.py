@@ -2,8 +2,8 @@
 
 Tokens of a page are its tags, told apart by their path, and its runs of text. Tokens
 of a group of pages with the same vector of occurrences form an equivalence class;
-a class is valid if its tokens keep one order on every page. Valid classes nest into
-the template of the group, and what the template leaves open are the slots. Slots in
+a class is valid if enough pages hold it and its tokens keep one order on each of them.
+Valid classes make up the template of the group, and what it leaves open are the slots. Slots in
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
 styles are dropped, and so is what the template holds; of the rest, the main text is the
 article where that has most of it, and else all.
@@ -12,6 +12,7 @@ article where that has most of it, and else all.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -28,6 +29,10 @@ GROUP_PAGES, GROUP_CHARS = 64, 4_000_000
 LARGE_HOSTS = 100_000
 #: Distinct pages from which on a group's template tells text of the site from text of the page.
 MIN_SUPPORT = 4
+#: Share of a group's pages that hold a class of its template: groups mix types of pages, and some pages are odd.
+MIN_SHARE = 0.25
+#: Share of pages from which on a text of the template is dropped inside an article too; a line that only some articles repeat is their own.
+ARTICLE_SHARE = 0.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -169,25 +174,26 @@ class Page:
         pop(0)
 
 
-def deduce_template(pages: list[Page]) -> tuple[dict[str, int], set[str]]:
+def deduce_template(pages: list[Page]) -> tuple[dict[str, int], dict[str, float]]:
     """Template of a group of distinct pages: the class of each token of the template, and those
-    texts among them that stand on every page (of ``MIN_SUPPORT`` or more).
+    texts among them (in a group of ``MIN_SUPPORT`` pages or more) with the share of pages that hold each.
 
-    A class is the set of tokens with one vector of occurrences. It is valid if its
-    tokens occur on every page and keep one order there: on each page, the sequence of
-    the class's tokens is the same pattern, repeated. The class of vector (1, 1, ...)
-    is the outermost; others nest in the gap of it in which they always lie.
+    A class is the set of tokens with one vector of occurrences, zeros included. It is valid
+    if at least ``MIN_SHARE`` of the pages, and ``MIN_SUPPORT``, hold it (all pages of a smaller
+    group) and its tokens keep one order there: on each page that holds it, the sequence of
+    the class's tokens is the same pattern, repeated.
     """
     if len(pages) < 2:
-        return {}, set()
+        return {}, {}
+    support = max(min(MIN_SUPPORT, len(pages)), math.ceil(MIN_SHARE * len(pages)))
     vectors: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for i, p in enumerate(pages):
         for t, n in Counter(p.tokens).items():
             vectors[t].append((i, n))
     classes: dict[tuple, list[str]] = defaultdict(list)
     for t, v in vectors.items():
-        if len(v) == len(pages):
-            classes[tuple(n for _, n in v)].append(t)
+        if len(v) >= support:
+            classes[tuple(v)].append(t)
     template: dict[str, int] = {}
     member = {t: k for k, ts in enumerate(classes.values()) for t in ts}
     order: dict[int, list[tuple]] = {k: [] for k in range(len(classes))}
@@ -204,15 +210,15 @@ def deduce_template(pages: list[Page]) -> tuple[dict[str, int], set[str]]:
         if len(set(pattern)) == width and all(run == pattern * (len(run) // width) for run in order[k]):
             template.update(dict.fromkeys(ts, k))
     if len(pages) < MIN_SUPPORT:
-        return template, set()
-    return template, {t for t in template if " " in t}
+        return template, {}
+    return template, {t: len(vectors[t]) / len(pages) for t in template if " " in t}
 
 
-def main_text(page: Page, fixed: set[str]) -> str:
+def main_text(page: Page, fixed: dict[str, float]) -> str:
     """The blocks which the template does not hold: those of the article, if they have at least as
     many characters as those around it (else the articles are teasers), or all outside dropped
     regions. An article that the template holds whole stays, as its pages are copies."""
-    own = [(t, article) for t, path, article in page.blocks if f"{path} {t}" not in fixed]
+    own = [(t, article) for t, path, article in page.blocks if fixed.get(f"{path} {t}", 0) < (ARTICLE_SHARE if article else MIN_SHARE)]
     inside = [t for t, article in own if article] or [t for t, _, article in page.blocks if article]
     around = [t for t, article in own if not article]
     if inside and sum(map(len, inside)) >= sum(map(len, around)):

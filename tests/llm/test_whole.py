@@ -28,6 +28,19 @@ def test_copies_keep_their_article():
     assert html.extract_group([page.format(i) for i in range(6)])[0][0] == "The same article."
 
 
+def test_one_odd_page_leaves_the_template():
+    page = "<body><div><p>Same on all</p></div><div><p>text {}</p></div></body>"
+    got = html.extract_group([*[page.format(i) for i in range(12)], "<p>x"])
+    assert [t for t, _ in got] == [*[f"text {i}" for i in range(12)], "x"]
+    assert all(n > 0 for _, n in got[:12])
+
+
+def test_types_of_pages_keep_their_templates():
+    kinds = ["<body><div><p>Notice of kind A</p><p>a {}</p></div></body>", "<body><section><h2>Notice of kind B</h2><p>b {}</p></section></body>"]
+    got = html.extract_group([kinds[i % 2].format(i) for i in range(12)])
+    assert [t for t, _ in got] == [f"{'ab'[i % 2]} {i}" for i in range(12)]
+
+
 # 2 lines
 
 

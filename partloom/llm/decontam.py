@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 
 from ._util import small_batches
 
-#: Fixed masks: 1 is a position that must agree.
-MASKS = ("111111", "1101011011", "11100100111", "1010110010011")
+#: Fixed masks: 1 is a position that must agree. Wherever a fifth of the words differs, one of them fits: in
+#: each item of 6 to 11 words, and in each stretch of 12 to 23 (tests try all cases). A longer stretch
+#: that counts has a half that counts.
+MASKS = ("1111", "11101", "11011")
+#: Items of fewer words are found word for word only.
+MIN_ITEM = 6
+#: Words compared at once along the alignments of a document.
+SLICE_WORDS = 4_000_000
 #: A stretch of so many words counts (all words of a shorter item), if this share of them agrees.
 MIN_WORDS, MIN_SHARE = 12, 0.8
 #: Benchmark words up to which its hashes are sent to every executor (some 8 bytes a mask and word).
@@ -79,14 +85,14 @@ def best_stretch(a: list, b: list, min_words: int = MIN_WORDS, min_share: float
         while j - i >= min_words:
             if gain[j] >= gain[i] - 1e-9:
                 start, end = i, j
-                while not same[start]:
+                # Ends that differ are left out as long as enough words remain.
+                while not same[start] and end - start > min_words:
                     start += 1
-                while not same[end - 1]:
+                while not same[end - 1] and end - start > min_words:
                     end -= 1
-                if end - start >= min_words:
-                    got = (start, end, total[end] - total[start])
-                    if best is None or got[2] > best[2]:
-                        best = got
+                got = (start, end, total[end] - total[start])
+                if best is None or got[2] > best[2]:
+                    best = got
                 break
             j -= 1
     return best
@@ -107,7 +113,7 @@ class BenchmarkIndex:
                 self.vocab.setdefault(x, len(self.vocab) + 1)
         hs, ks, ps = [], [], []
         for k, (_, w) in enumerate(self.flat):
-            h = _mixed(np.array([self.vocab[x] for x in w], np.int64))
+            h = _mixed(np.array([self.vocab[x] for x in w if len(w) >= MIN_ITEM], np.int64))
             for salt, mask in enumerate(MASKS):
                 pos, out = seed_hashes(h, None, mask, salt)
                 hs.append(out)
@@ -116,6 +122,10 @@ class BenchmarkIndex:
         h = np.concatenate([*hs, np.zeros(0, np.uint64)])
         order = np.argsort(h, kind="stable")
         self.h, self.k, self.p = h[order], np.concatenate([*ks, np.zeros(0, np.int64)])[order], np.concatenate([*ps, np.zeros(0, np.int64)])[order]
+        self.ids = np.array([self.vocab[x] for _, w in self.flat for x in w], np.int64)
+        self.sizes = np.array([len(w) for _, w in self.flat], np.int64)
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.short = [k for k, (_, w) in enumerate(self.flat) if len(w) < MIN_ITEM]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.h >> np.uint64(44)).astype(np.int64)] = True
 
@@ -126,26 +136,46 @@ class BenchmarkIndex:
             return []
         ids = np.fromiter(map(self.vocab.get, w, [0] * len(w)), np.int64, len(w))
         h, known = _mixed(ids), ids > 0
-        seen: set[tuple[int, int]] = set()
+        seen: list[np.ndarray] = []
         for salt, mask in enumerate(MASKS):
             pos, out = seed_hashes(h, known, mask, salt)
             keep = self.bits[(out >> np.uint64(44)).astype(np.int64)]
-            for p, x in zip(pos[keep], out[keep], strict=True):
-                lo = int(np.searchsorted(self.h, x, "left"))
-                hi = int(np.searchsorted(self.h, x, "right"))
-                seen.update((int(self.k[i]), int(p - self.p[i])) for i in range(lo, hi))
-        # Items shorter than every mask, word for word.
+            pos, out = pos[keep], out[keep]
+            lo = np.searchsorted(self.h, out, "left")
+            n = np.searchsorted(self.h, out, "right") - lo
+            hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            seen.append(self.k[hit] << 32 | np.repeat(pos, n) - self.p[hit] + (1 << 31))
         found: dict[int, tuple] = {}
-        for k, shift in seen:
+        for k, shift in self._agreeing(ids, np.unique(np.concatenate(seen))):
             self._verify(w, k, shift, found)
-        for k, (_, item) in enumerate(self.flat):
-            if len(item) < len(MASKS[0]):
-                n = len(item)
-                for p in np.flatnonzero(ids[: len(w) - n + 1] == self.vocab[item[0]]) if len(w) >= n else ():
-                    if w[p : p + n] == item:
-                        found.setdefault(self.flat[k][0], (int(p), 0, n, n))
+        for k in self.short:
+            item = self.flat[k][1]
+            n = len(item)
+            for p in np.flatnonzero(ids[: len(w) - n + 1] == self.vocab[item[0]]) if len(w) >= n else ():
+                if w[p : p + n] == item:
+                    found.setdefault(self.flat[k][0], (int(p), 0, n, n))
         return [(k, *v) for k, v in sorted(found.items())]
 
+    def _agreeing(self, ids: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, shift) of those alignments along which enough words agree for a stretch that counts."""
+        k, shift = codes >> 32, (codes & ((1 << 32) - 1)) - (1 << 31)
+        size = self.sizes[k]
+        lo, hi = np.maximum(0, -shift), np.minimum(size, len(ids) - shift)
+        need = np.minimum(MIN_WORDS, size)
+        long = hi - lo >= need
+        k, shift, lo, hi, need = k[long], shift[long], lo[long], hi[long], need[long]
+        end = np.cumsum(hi - lo)
+        i = 0
+        while i < len(k):
+            j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + SLICE_WORDS, "right")))
+            n = (hi - lo)[i:j]
+            first = np.cumsum(n) - n
+            x = np.arange(n.sum()) + np.repeat(lo[i:j] - first, n)
+            same = self.ids[x + np.repeat(self.at[k[i:j]], n)] == ids[x + np.repeat(shift[i:j], n)]
+            enough = np.add.reduceat(same, first, dtype=np.int64) >= MIN_SHARE * need[i:j] - 1e-9
+            yield from zip(k[i:j][enough].tolist(), shift[i:j][enough].tolist(), strict=True)
+            i = j
+
     def _verify(self, w: list[str], k: int, shift: int, found: dict[int, tuple]) -> None:
         item_id, item = self.flat[k]
         lo, hi = max(0, -shift), min(len(item), len(w) - shift)

@@ -1,11 +1,12 @@
 """Cases of the review: what the operators once did less than whole."""
 
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from partloom.llm import _util, html, linedup
+from partloom.llm import _util, decontam, html, linedup
 
 
 # 1 HTML
@@ -96,3 +97,27 @@ def test_all_lines_of_a_band_are_compared(spark, monkeypatch, block):
     rows = spark.createDataFrame([(i, x, 9 if i == 0 else 1) for i, x in enumerate(lines)], "lid bigint, line string, n bigint")
     got = dict(_util.connected_components(linedup.similar_lines(rows), "a", "b").collect())
     assert got == dict.fromkeys(range(6), 0)
+
+
+# 4 decontamination
+
+
+@pytest.mark.parametrize("n", range(6, 24))
+def test_masks_fit_every_stretch(n):
+    at = [[i for i, c in enumerate(m) if c == "1"] for m in decontam.MASKS]
+    places = [{p + i for i in m} for m, mask in zip(at, decontam.MASKS, strict=True) for p in range(n - len(mask) + 1)]
+    for wrong in combinations(range(n), n // 5):
+        assert any(p.isdisjoint(wrong) for p in places), wrong
+
+
+@pytest.mark.parametrize("n", [6, 7, 8, 9, 10, 11, 12, 15, 16, 40])
+def test_items_are_found_with_a_fifth_of_their_words_changed(n):
+    rng = random.Random(n)
+    items = [[f"i{n}x{k}y{i}" for i in range(n)] for k in range(60)]
+    index = decontam.BenchmarkIndex([(k, " ".join(w)) for k, w in enumerate(items)])
+    for k, w in enumerate(items):
+        wrong = set(rng.sample(range(n), n // 5))
+        text = [f"t{i}" for i in range(20)] + [f"z{i}" if i in wrong else x for i, x in enumerate(w)] + ["u"] * 20
+        assert [x[0] for x in index.overlaps(" ".join(text))] == [k]
+        far = {*wrong, *[i for i in range(n) if i % 2]}
+        assert index.overlaps(" ".join(f"z{i}" if i in far else x for i, x in enumerate(w))) == []

@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="partloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -113,4 +116,6 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     else:
         raise RuntimeError(f"links did not settle in {max_rounds} rounds")
     roots = cur.select("v").distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    out = materialize(cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("component"))))
+    drop(cur)
+    return out

@@ -1,182 +1,451 @@
-"""Fuzzy line deduplication by MinHash over character shingles (DataFrame functions only).
-
-Equal lines are one line with the place of its first occurrence. Each distinct line gets
-a signature of minima over its shingles of eight characters, one from each character; lines
-that agree in a band are compared with the most frequent of the band by the exact Jaccard
-similarity of their shingle sets, and then all lines of a band that still lie in several
-components with each other, in blocks inside a row. Links are joined by distributed
-union-find, and one line of each component stays: its first occurrence.
+"""Fuzzy line deduplication by MinHash over character shingles.
+
+Each distinct line gets a signature of minima over its shingles of eight characters, one
+from each character. Lines that agree in a band are compared with a hub of the band by
+the exact Jaccard similarity of their shingle sets, then all lines of a band that still
+lie in several components with each other, in blocks inside a row. Links are joined by
+distributed union-find, and one line of each component stays: its first occurrence.
+
+The operator was dealt in native style; that form took about twice the CPU budget (see the
+README), so lines are cut, signed and compared in Arrow batches here. Lines and bands
+meet as packed records in buckets of bounded size, one row a bucket and chunk: a chunk sends each
+distinct line, and each band, once, however often they stand in it.
 """
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._util import connected_components, drop, free, materialize
+from ._util import connected_components, drop, materialize, small_batches
+from ._words import mixed
+from .ngramjoin import linked_pairs
 
+#: Characters of a shingle (a power of two) and the least similarity of a link.
 SHINGLE, THRESHOLD = 8, 0.8
-#: 8 bands of 3 rows find a pair at the threshold with probability 0.997.
-BANDS, ROWS = 8, 3
+#: 10 bands of 3 rows find a pair at the threshold with probability 0.9992.
+BANDS, ROWS = 10, 3
 #: Lines and characters of a block of a band on average, when all its pairs are compared.
 BLOCK_LINES, BLOCK_CHARS = 1024, 1_000_000
-#: Read by tests only.
-LONG_WORD = 12
-
-
-def line_key(line: Column) -> Column:
-    """What is compared of a line: all but the white space around it."""
-    return F.trim(line, F.lit(" \t\n\x0b\f\r"))
-
-
-def _units(line: Column) -> Column:
-    """Four bytes a character, so that a shingle is cut without reading the line up to it."""
-    return F.encode(line, "UTF-32")
-
-
-def _starts(units: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(units) / 4).cast("int") - SHINGLE, F.lit(0)))
-
-
-def _shingle(units: Column, i: Column) -> Column:
-    return F.substring(units, 4 * i + 1, F.lit(4 * SHINGLE))
-
-
-def _masks() -> list[int]:
-    """A fixed number for each band; their leading bits differ, so that each band's minima are others."""
-    rng = random.Random(8)
-    return [((b * (64 // BANDS) << 26) | rng.getrandbits(26)) - (1 << 31) for b in range(BANDS)]
-
-
-def signatures(lines: DataFrame) -> DataFrame:
-    """(lid, rank, bands) of (lid, rank, line): hashes of the bands of the line's signature.
-
-    A row of a band is a hash function, and a band combines its values with a mask: the
-    minimum of a masked hash is that of the shingle nearest to the mask. Hashes have 32
-    bits, for the shuffled minima; what they confuse is told apart by verification.
+#: Bytes of text whose lines share a bucket, and the number of buckets at most.
+BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 1 << 18
+#: Lines of a chunk, which a task combines before it sends them.
+CHUNK_LINES = 200_000
+#: Characters hashed at once.
+PART_CHARS = 48_000
+#: At most so many lines have more than this share of all occurrences; they are sent to every executor.
+FREQUENT_LINES = 10_000
+#: White space around a line that does not count.
+SPACE = " \t\n\x0b\f\r"
+
+_LAST = (1 << 63) - 1
+_rng = np.random.default_rng(8)
+_MUL = _rng.integers(0, 1 << 31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, (BANDS, ROWS), dtype=np.uint32)
+
+#: A distinct line: hash, occurrences, the first of them (doc_id, position, hash of the text) and bands (zeros: too short for any).
+LINE = np.dtype([("h1", "u8"), ("h2", "u8"), ("n", "i8"), ("d", "i8"), ("pos", "i8"), ("th", "i8"), ("bands", "u8", (BANDS,))])
+#: A line in a band; ``met`` if others of its chunk are in it too.
+MEMBER = np.dtype([("band", "u8"), ("lid", "i8"), ("n", "i4"), ("met", "i4")])
+
+
+def _shingle_codes(lines: list[str], kind: type) -> np.ndarray:
+    """A hash of ``kind`` of the ``SHINGLE`` characters from each place of the lines, one after the other; those
+    that reach beyond a line's end mean nothing."""
+    u = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(kind)
+    h = np.concatenate([u, np.zeros(SHINGLE, kind)])
+    most, half = np.iinfo(kind).max, kind(np.dtype(kind).itemsize * 4 - 1)
+    width = 1
+    while width < SHINGLE:  # hashes of width characters make those of twice as many
+        h = h[:-width] * kind((0x9E3779B97F4A7C15 + (width << 20)) & most) + h[width:]
+        h ^= h >> half
+        width *= 2
+    h *= kind(0x94D049BB133111EB & most)
+    h ^= h >> half
+    return h
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """Band hashes, one row a line; zeros for a line shorter than a shingle, which resembles no other."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    out = np.zeros((len(lines), BANDS), np.uint64)
+    long = np.flatnonzero(sizes >= SHINGLE)
+    end = np.cumsum(sizes[long])
+    lo = 0
+    while lo < len(long):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + PART_CHARS, "right")))
+        part = long[lo:hi]
+        h = _shingle_codes([lines[i] for i in part], np.uint32)
+        n = sizes[part]
+        at = np.repeat(np.cumsum(n) - n, 2)
+        at[1::2] += n - SHINGLE + 1
+        for b in range(BANDS):
+            key = np.full(len(part), b + 1, np.uint64)
+            for r in range(ROWS):
+                x = h * _MUL[b, r]
+                x ^= _XOR[b, r]
+                key = mixed(key * np.uint64(0x100000001B3) + np.minimum.reduceat(x, at)[::2])
+            out[part, b] = key | np.uint64(1)
+        lo = hi
+    return out
+
+
+def shingle_set(line: str) -> np.ndarray:
+    """Sorted 64-bit hashes of all shingles; a shorter line is one shingle."""
+    if len(line) < SHINGLE:
+        return np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))], np.uint64)
+    return np.unique(_shingle_codes([line], np.uint64)[: len(line) - SHINGLE + 1])
+
+
+def is_linked(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    lo, hi = sorted((len(a), len(b)))
+    if lo < threshold * hi - 1e-9:
+        return False
+    both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return both * (1 + threshold) >= threshold * (len(a) + len(b)) - 1e-9
+
+
+def _combined(lines: np.ndarray) -> np.ndarray:
+    """One record for each distinct line, sorted by hash: all its occurrences, the first of them."""
+    s = lines[np.lexsort((lines["th"], lines["pos"], lines["d"], lines["h2"], lines["h1"]))]
+    new = np.ones(len(s), bool)
+    new[1:] = (s["h1"][1:] != s["h1"][:-1]) | (s["h2"][1:] != s["h2"][:-1])
+    at = np.flatnonzero(new)
+    out = s[at]
+    out["n"] = np.add.reduceat(s["n"], at) if len(at) else 0
+    return out
+
+
+def _buckets(h: np.ndarray, n: int) -> np.ndarray:
+    """A bucket for each hash; buckets rise with the hashes."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(records: np.ndarray, key: str, n: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, bytes) of ``records``, which are sorted by ``key``."""
+    b = _buckets(records[key], n)
+    edge = np.flatnonzero(np.diff(b, prepend=-1, append=-1)) if len(b) else []
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        yield int(b[lo]), records[lo:hi].tobytes()
+
+
+def _rank(n: np.ndarray, lid: np.ndarray) -> np.ndarray:
+    """Order of hubs: lines of most occurrences first, as an original has more than its variants."""
+    return (n.astype(np.uint64) << np.uint64(40)) | (mixed(lid.astype(np.uint64)) >> np.uint64(24))
+
+
+def _groups(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members sorted by band, hubs first; for each the place of its band's hub, and the size of its band."""
+    s = members[np.lexsort((~_rank(members["n"], members["lid"]), members["band"]))]
+    new = np.ones(len(s), bool)
+    new[1:] = s["band"][1:] != s["band"][:-1]
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(s)))
+    return s, np.repeat(at, size), np.repeat(size, size)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """From (d, th, text): a row for each document with its lines, and packed rows of the distinct lines of a chunk."""
+    pending: list[np.ndarray] = []
+
+    def rows(docs: list[tuple], packed: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*[(None, None, *x) for x in docs], *[(*x, None, None, None, None, None) for x in packed], strict=True)) or [()] * 7
+        kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "payload", "d", "th", "pos", "h1", "h2"])
+
+    for batch in batches:
+        docs = []
+        at: dict[str, int] = {}
+        found: list[tuple[int, int, int, int]] = []
+        for d, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            where, which = [], []
+            for pos, raw in enumerate(text.split("\n")):
+                if line := raw.strip(SPACE):
+                    k = at.setdefault(line, len(at))
+                    where.append(pos)
+                    which.append(k)
+                    found.append((k, d, pos, th))
+            if where:
+                docs.append((d, th, where, which))
+        if not at:
+            continue
+        lines = list(at)
+        digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64).reshape(-1, 2)
+        own = np.array(found, np.int64)
+        rec = np.zeros(len(own), LINE)
+        rec["h1"], rec["h2"] = digest[own[:, 0], 0], digest[own[:, 0], 1]
+        rec["n"], rec["d"], rec["pos"], rec["th"] = 1, own[:, 1], own[:, 2], own[:, 3]
+        order = np.lexsort((digest[:, 1], digest[:, 0]))
+        rec = _combined(rec)
+        rec["bands"] = signatures([lines[i] for i in order])
+        pending.append(rec)
+        signed = digest.view(np.int64)
+        yield rows([(d, th, where, signed[which, 0], signed[which, 1]) for d, th, where, which in docs], [])
+        if sum(map(len, pending)) > CHUNK_LINES:
+            yield rows([], list(_packed(_combined(np.concatenate(pending)), "h1", n_buckets)))
+            pending = []
+    if pending:
+        yield rows([], list(_packed(_combined(np.concatenate(pending)), "h1", n_buckets)))
+
+
+_CUT = "bucket int, payload binary, d bigint, th bigint, pos array<int>, h1 array<bigint>, h2 array<bigint>"
+_DISTINCT = "bucket int, payload binary, band bigint, hub bigint, lid bigint, h1 bigint, h2 bigint, n bigint, d bigint, pos bigint, th bigint"
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The payloads of each bucket from rows (bucket, payload) sorted by bucket."""
+    key, got = None, []
+    for b in batches:
+        for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if k != key:
+                if got:
+                    yield key, got
+                key, got = k, []
+            got.append(x.as_py())
+    if got:
+        yield key, got
+
+
+def _distinct(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """From the packed lines of a bucket: its distinct lines, the members of bands that meet in it, and a packed hub of each band."""
+    for bucket, payloads in _by_bucket(batches):
+        lines = _combined(np.frombuffer(b"".join(payloads), LINE))
+        lid = (np.int64(bucket) << np.int64(32)) + np.arange(len(lines))
+        signed = np.flatnonzero(lines["bands"][:, 0] > 0)
+        members = np.zeros(len(signed) * BANDS, MEMBER)
+        members["band"], members["lid"] = lines["bands"][signed].ravel(), np.repeat(lid[signed], BANDS)
+        members["n"] = np.repeat(np.minimum(lines["n"][signed], 1 << 22), BANDS)
+        s, hub, size = _groups(members)
+        s["met"] = size > 1
+        is_hub = hub == np.arange(len(s))
+        packed = list(_packed(s[is_hub], "band", n_buckets))
+        yield _rows(packed, s[~is_hub], s["lid"][hub[~is_hub]], lid, lines)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the packed hubs of a bucket: those of bands with several members, with the hub of all."""
+    for _, payloads in _by_bucket(batches):
+        s, hub, size = _groups(np.frombuffer(b"".join(payloads), MEMBER))
+        keep = (size > 1) | (s["met"] > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s["band"][keep].view(np.int64), s["lid"][hub[keep]], s["lid"][keep])], names=["band", "hub", "lid"])
+
+
+def _rows(packed: list[tuple], members: np.ndarray, hubs: np.ndarray, lid: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
+    sizes = [len(packed), len(members), len(lid)]
+    blank = lambda n: pa.nulls(n, pa.int64())
+
+    def column(of_members: np.ndarray | None, of_lines: np.ndarray | None) -> pa.Array:
+        parts = [blank(sizes[0]), blank(sizes[1]) if of_members is None else pa.array(of_members), blank(sizes[2]) if of_lines is None else pa.array(of_lines)]
+        return pa.concat_arrays(parts)
+
+    first = [pa.array([x[0] for x in packed] + [None] * (sizes[1] + sizes[2]), pa.int32()), pa.array([x[1] for x in packed] + [None] * (sizes[1] + sizes[2]), pa.binary())]
+    rest = [column(members["band"].view(np.int64), None), column(np.ascontiguousarray(hubs), None), column(np.ascontiguousarray(members["lid"]), lid)]
+    rest += [column(None, np.ascontiguousarray(lines[k]).view(np.int64)) for k in ("h1", "h2", "n", "d", "pos", "th")]
+    return pa.RecordBatch.from_arrays([*first, *rest], names=_names(_DISTINCT))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _compare_with_hub(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Those of the pairs (a, b, la, lb) at or over the threshold."""
+    sets: dict[int, np.ndarray] = {}
+    held = 0
+    for batch in batches:
+        ids, texts = [batch.column(i).to_pylist() for i in range(2)], [batch.column(i) for i in (2, 3)]
+        keep = []
+        for i in range(batch.num_rows):
+            pair = []
+            for side in range(2):
+                k = ids[side][i]
+                if k not in sets:
+                    if held > 2_000_000:
+                        sets.clear()
+                        held = 0
+                    sets[k] = shingle_set(texts[side][i].as_py())
+                    held += len(sets[k])
+                pair.append(sets[k])
+            if is_linked(*pair, threshold):
+                keep.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between the lines of two blocks (i, j, lines) that lie in different components."""
+    for batch in batches:
+        links: set[tuple[int, int]] = set()
+        for i, j, xs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            xs = xs.as_py()
+            sets = [shingle_set(x["line"]) for x in xs]
+            block, comp = np.array([x["block"] for x in xs]), np.array([x["component"] for x in xs])
+            pairs = linked_pairs(sets, np.flatnonzero(block == i), np.flatnonzero(block == j), threshold)
+            pairs = pairs[comp[pairs[:, 0]] != comp[pairs[:, 1]]]
+            links |= {tuple(sorted((xs[p]["lid"], xs[q]["lid"]))) for p, q in pairs.tolist()}
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
+def similar_components(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(lid, component) of the lines that links join, from ``members`` (band, hub, lid) and ``texts`` (lid, line).
+
+    Every line is compared with the hub of each of its bands; then all pairs of a band that
+    lie in different components are, so that no link between lines of a band is left out.
     """
-    at = lines.select("lid", "rank", _units(F.col("line")).alias("u")).select("lid", "rank", "u", F.explode(_starts(F.col("u"))).alias("i"))
-    h = at.select("lid", "rank", F.hash(_shingle(F.col("u"), F.col("i"))).alias("h"))
-    h = h.select("lid", "rank", *[F.hash(F.lit(r), "h").alias(f"h{r}") for r in range(ROWS)])
-    minima = [F.min(F.col(f"h{r}").bitwiseXOR(F.lit(m))).alias(f"m{b}_{r}") for b, m in enumerate(_masks()) for r in range(ROWS)]
-    bands = [F.xxhash64(F.lit(b), *[f"m{b}_{r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return h.groupBy("lid", "rank").agg(*minima).select("lid", "rank", F.array(*bands).alias("bands"))
-
-
-def shingle_set(line: Column) -> Column:
-    # The units are an element of an array, or each shingle would encode the line again.
-    sets = F.transform(F.array(_units(line)), lambda u: F.array_distinct(F.transform(_starts(u), lambda i: F.xxhash64(_shingle(u, i)))))
-    return sets[0]
-
-
-def _linked(sa: Column, sb: Column, threshold: float) -> Column:
-    """Whether two sets are at or over the threshold; their intersection is the last to be looked at."""
-    near = F.least(F.size(sa), F.size(sb)) >= threshold * F.greatest(F.size(sa), F.size(sb)) - 1e-9
-    return near & (F.size(F.array_intersect(sa, sb)) * (1 + threshold) >= threshold * (F.size(sa) + F.size(sb)) - 1e-9)
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) at or over the threshold. Sets are made anew, as they take many times the space of a line."""
-    a = texts.select(F.col("lid").alias("a"), F.col("line").alias("la"))
-    b = texts.select(F.col("lid").alias("b"), F.col("line").alias("lb"))
-    p = pairs.join(a, "a").join(b, "b").select("a", "b", F.array(shingle_set(F.col("la")), shingle_set(F.col("lb"))).alias("s"))
-    p = p.select("a", "b", F.transform(F.array("s"), lambda s: _linked(s[0], s[1], threshold))[0].alias("linked"))
-    return p.where("linked").select("a", "b")
-
-
-def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) between rows of ``lines`` (lid, line, n copies; lines differ), enough to join every component found.
-
-    Every line is compared with the line of most copies in each of its bands. These links make
-    components; where the others of a band lie in several, all of their pairs from different
-    components are compared (:func:`_across`).
-    """
-    # Rank of a line: its copies, then a hash. An original has more copies than its variants.
-    rank = F.call_function("shiftleft", F.least("n", F.lit(1 << 22)).cast("long"), F.lit(40)) + F.pmod(F.xxhash64("lid"), F.lit(1 << 40))
-    signed = materialize(signatures(lines.withColumn("rank", rank)), clean=True)
-    banded = signed.select("lid", "rank", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.max_by("lid", "rank").alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
-    met = materialize(banded.join(hubs.hint("shuffle_hash"), "band").select("band", "lid", "hub"), clean=True)
-    drop(signed)
-    texts = materialize(lines.join(met.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), clean=True)
-    tried = met.where("lid <> hub").select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
-    links = materialize(_similar(tried, texts, threshold), clean=True)
+    tried = members.where("lid <> hub").select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
+    pairs = tried.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b").join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
+    links = materialize(pairs.select("a", "b", "la", "lb").mapInArrow(lambda bs: _compare_with_hub(bs, threshold), "a bigint, b bigint"))
     comps = connected_components(links, "a", "b").withColumnRenamed("node", "lid")
-    others = met.where("lid <> hub").select("band", "lid").join(comps, "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("component"))
-    more = materialize(_across(others, texts, threshold), clean=True)
-    drop(met)
-    return links.union(more)
+    more = materialize(_across(members, comps, texts, threshold))
+    if more.isEmpty():
+        return comps
+    joined = connected_components(comps.withColumnsRenamed({"lid": "a", "component": "b"}).union(more), "a", "b")
+    return joined.withColumnRenamed("node", "lid")
 
 
-def _across(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between lines of different components that share a band of ``members`` (band, lid, component).
+def _across(members: DataFrame, comps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between lines of different components that share a band.
 
-    Bands of the same lines are compared once. A band of many lines is cut into blocks, and
-    a row takes a pair of blocks, so no band is gathered whole and only links are emitted.
+    Bands of the same lines are compared once. The lines of a band's largest component are
+    cut into blocks that meet those of the others only; a row takes a pair of blocks, so
+    no band is gathered whole and only links are emitted.
     """
-    m = members.join(texts.select("lid", F.length("line").alias("n_chars")), "lid")
+    m = members.select("band", "lid").distinct().join(comps, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    m = m.join(texts.select("lid", F.length("line").alias("n_chars")), "lid")
     same = [F.bit_xor(F.xxhash64(F.lit(k), "lid")).alias(f"x{k}") for k in range(2)]
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_LINES, F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks")
-    several = m.groupBy("band").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), blocks, *same).where("lo <> hi")
-    several = several.groupBy("k", "x0", "x1").agg(F.min(F.struct("band", "blocks")).alias("b")).select("b.*")
-    m = members.join(several, "band").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = m.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("n_chars").alias("c"), *same)
+    bands = parts.groupBy("band").agg(F.count("*").alias("n_parts"), F.max(F.struct("k", "component", "c")).alias("most"), F.sum("k").alias("k"), F.sum("c").alias("c"), *[F.bit_xor(f"x{k}").alias(f"x{k}") for k in range(2)])
+    bands = bands.where("n_parts > 1")
+    bands = bands.groupBy("k", "x0", "x1").agg(F.min(F.struct("band", "most", "c")).alias("b")).select("b.band", F.col("b.most.component").alias("most"), "k", "b.most", "b.c")
+    blocks = lambda k, c: F.greatest(F.lit(1), F.ceil(F.greatest(k / BLOCK_LINES, c / BLOCK_CHARS))).cast("int")
+    most = F.col("b.most")
+    return _block_links(m, bands.toDF("band", "largest", "k", "most", "c").select("band", "largest", blocks(F.col("most.k"), F.col("most.c")).alias("n_most"), blocks(F.col("k") - F.col("most.k"), F.col("c") - F.col("most.c")).alias("n_rest")), texts, threshold)
+
+
+def _block_links(m: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    # Blocks of the largest component are numbered from 0, those of the others from n_most on.
+    m = m.join(bands, "band")
+    h = F.xxhash64("lid")
+    m = m.withColumn("block", F.when(F.col("component") == F.col("largest"), F.pmod(h, F.col("n_most"))).otherwise(F.col("n_most") + F.pmod(h, F.col("n_rest"))).cast("int"))
+    others = F.when(F.col("component") == F.col("largest"), F.sequence(F.col("n_most"), F.col("n_most") + F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_most") + F.col("n_rest") - 1))
+    m = m.withColumn("other", F.explode(others))
     m = m.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "lid", "component")
     rows = m.join(texts, "lid").groupBy("band", "i", "j").agg(F.collect_list(F.struct("block", "lid", "component", "line")).alias("xs"))
+    return rows.select("i", "j", "xs").mapInArrow(lambda bs: _compare_blocks(bs, threshold), "a bigint, b bigint").distinct()
+
 
-    def pairs(xs: Column) -> Column:
-        one = lambda a: F.transform(F.filter(xs, lambda b: between(a, b)), lambda b: F.struct(a["lid"].alias("a"), b["lid"].alias("b")))
-        return F.flatten(F.transform(F.filter(xs, lambda a: a["block"] == F.col("i")), one))
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
-    def between(a: Column, b: Column) -> Column:
-        once = (b["block"] == F.col("j")) & ((F.col("i") < F.col("j")) | (a["lid"] < b["lid"]))
-        return once & (a["component"] != b["component"]) & _linked(a["s"], b["s"], threshold)
 
-    made = F.transform("xs", lambda x: F.struct(x["block"].alias("block"), x["lid"].alias("lid"), x["component"].alias("component"), shingle_set(x["line"]).alias("s")))
-    # As an element of an array, the sets of a row are made once and not for each pair.
-    found = F.transform(F.array(made), pairs)[0]
-    return rows.select(F.explode(found).alias("p")).select("p.a", "p.b").distinct()
+def _first_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lid, line) of ``wanted`` (lid, d, th, pos) from ``docs`` (d, th, text)."""
+    places = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("lid", "pos")).alias("places"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lines = [], []
+            for text, places in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                parts = text.as_py().split("\n")
+                for x in places:
+                    ids.append(x["lid"])
+                    lines.append(parts[x["pos"]].strip(SPACE))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["lid", "line"])
+
+    # Repeated rows of one document give a line each.
+    found = docs.join(places.hint("shuffle_hash"), ["d", "th"]).select("text", "places").mapInArrow(take, "lid bigint, line string")
+    return found.dropDuplicates(["lid"])
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) with ``n_lines`` and ``n_kept``; ``text`` holds the lines that stay.
 
     Lines are parts of the text between line feeds, compared without the white space
-    around them; blank lines always stay. Of each component of similar lines, the first
-    stays: smallest doc_id (null last), then position. A null text stays null with no
-    line; a text all of whose lines go becomes empty. Rows of one doc_id and text are
-    one document and keep the same lines; rows of one doc_id with different texts are
-    ordered by position. Existing columns of the two names are replaced; an empty table
-    stays empty.
+    around them; blank lines always stay. Lines of under eight characters resemble only equal ones.
+    Of each component of similar lines, the first stays: smallest doc_id (null last), then
+    position, then a hash of the text. A null text stays null with no line; a text all of
+    whose lines go becomes empty. Rows of one doc_id and text are one document and keep
+    the same lines. Existing columns of the two names are replaced, any others are
+    kept whatever their names; whole texts and whole lines of any length are read; an empty table stays empty.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("n_lines", "n_kept")
-    order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
-    each = docs.where("text is not null").select(order.alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    each = each.select("d", "th", "pos", line_key(F.col("raw")).alias("line")).where("line <> ''")
-    same = (F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
-    distinct = each.groupBy("line").agg(F.min("d").alias("d"), F.count("*").alias("n"))
-    lines = materialize(distinct.select("line", "d", "n", *same, F.monotonically_increasing_id().alias("lid")), clean=True)
-    links = similar_lines(lines.select("lid", "line", "n"), threshold)
-    comps = connected_components(links, "a", "b").withColumnRenamed("node", "lid")
-    free(spark)
-    fuzzy = lines.select("lid", "h1", "h2", "d").join(comps, "lid")
-    keep = fuzzy.groupBy("component").agg(F.min("d").alias("keep"))
-    fuzzy = fuzzy.join(keep, "component").select("h1", "h2", "component", "keep")
-    exact = lines.where("n > 1").select("lid", "h1", "h2", "d").join(comps.select("lid"), "lid", "left_anti")
-    decided = fuzzy.union(exact.select("h1", "h2", F.col("lid").alias("component"), F.col("d").alias("keep")))
-    decided = materialize(decided, clean=True)
-    at = each.select("d", "th", "pos", *same).join(decided, ["h1", "h2"])
-    first = F.rank().over(Window.partitionBy("d", "component").orderBy("pos", "th"))
-    at = at.withColumn("k", first).where("d <> keep or k > 1")
-    gone = at.groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))
-    x = docs.withColumns({"_d": order, "_th": F.xxhash64("text")})
-    x = x.join(gone.withColumnsRenamed({"d": "_d", "th": "_th"}), ["_d", "_th"], "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), parts).otherwise(F.filter(parts, lambda line, i: ~F.array_contains(F.col("gone"), i)))
-    x = x.withColumn("_kept", kept)
-    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
-    out = x.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"), "n_kept": F.when(F.col("text").isNull(), 0).otherwise(F.size("_kept")).cast("long")})
-    return out.withColumn("text", F.array_join("_kept", "\n")).select(*docs.columns, "n_lines", "n_kept")
+    d, th = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th")
+    own = docs.where("text is not null").select(d, th, "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_buckets = int(min(MAX_BUCKETS, max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))))
+    cut = materialize(own.mapInArrow(lambda bs: _cut(bs, n_buckets), _CUT))
+    dealt = lambda df: df.where("bucket is not null").select("bucket", "payload").repartition("bucket").sortWithinPartitions("bucket")
+    distinct = materialize(dealt(cut).mapInArrow(lambda bs: _distinct(bs, n_buckets), _DISTINCT), clean=True)
+    met = dealt(distinct).mapInArrow(_meet, "band bigint, hub bigint, lid bigint")
+    members = materialize(distinct.where("band is not null").select("band", "hub", "lid").union(met), clean=True)
+    lines = distinct.where("h1 is not null").select("lid", "h1", "h2", "n", F.struct("d", "pos", "th").alias("first"))
+    texts = materialize(_first_lines(own, lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "first.*")), clean=True)
+    comps = similar_components(members, texts, threshold)
+    drop(members)
+    drop(texts)
+    fuzzy = lines.join(comps, "lid")
+    keep = fuzzy.groupBy("component").agg(F.min("first").alias("keep"))
+    decided = fuzzy.join(keep, "component").select("h1", "h2", "n", "keep")
+    exact = lines.where("n > 1").join(comps.select("lid"), "lid", "left_anti").select("h1", "h2", "n", F.col("first").alias("keep"))
+    decided = materialize(decided.union(exact))
+    gone = _gone(cut, decided)
+    x_d, x_th, x_gone = _fresh(docs, "d", "th", "gone")
+    x = docs.withColumns({x_d: d, x_th: th}).join(gone.toDF(x_d, x_th, x_gone).hint("shuffle_hash"), [x_d, x_th], "left")
+    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_kept", LongType())])
+    return x.select(*docs.columns, x_gone).mapInArrow(lambda bs: _rewritten(bs, schema.names), _nullable(schema))
+
+
+def _nullable(schema: StructType) -> StructType:
+    return StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in schema.fields])
+
+
+def _gone(cut: DataFrame, decided: DataFrame) -> DataFrame:
+    """(d, th, positions) of the lines that go: all occurrences of a decided line but the one that stays."""
+    each = cut.where("d is not null").select("d", "th", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("x")).select("d", "th", "x.pos", "x.h1", "x.h2")
+    total = decided.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = decided.where(F.col("n") > max(100_000, total // FREQUENT_LINES))
+    if frequent.isEmpty():
+        at = each.join(decided, ["h1", "h2"])
+    else:
+        # At most FREQUENT_LINES rows, by the choice of the bound; their occurrences do not meet in one task.
+        rare = each.join(F.broadcast(frequent.select("h1", "h2")), ["h1", "h2"], "left_anti").join(decided, ["h1", "h2"])
+        at = rare.unionByName(each.join(F.broadcast(frequent), ["h1", "h2"]))
+    stays = (F.col("d") == F.col("keep.d")) & (F.col("pos") == F.col("keep.pos")) & (F.col("th") == F.col("keep.th"))
+    return at.where(~stays).groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))
+
+
+def _rewritten(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines at the places in the last column, which gives way to the two counts."""
+    at = names.index("text")
+    for b in batches:
+        texts, n_lines, n_kept = [], [], []
+        for text, gone in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            if text is not None:
+                parts = text.split("\n")
+                n_lines.append(len(parts))
+                if gone:
+                    gone = set(gone)
+                    parts = [x for i, x in enumerate(parts) if i not in gone]
+                    text = "\n".join(parts)
+                n_kept.append(len(parts))
+            else:
+                n_lines.append(0)
+                n_kept.append(0)
+            texts.append(text)
+        cols = list(b.columns[:-1])
+        cols[at] = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())], names=names)

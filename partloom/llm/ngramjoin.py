@@ -69,7 +69,7 @@ class MinHash:
         return out
 
 
-def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """Pairs (i in left, j in right) at or over the threshold as an array of two columns."""
     sizes = np.array([len(s) for s in sets])
     if len(left) * len(right) <= 36:
@@ -201,7 +201,7 @@ def _verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: f
         copies = np.array([group[c][1] for c in ids])
         blocks = np.array([group[c][2] for c in ids])
         left, right = np.flatnonzero(blocks == key[1]), np.flatnonzero(blocks == key[2])
-        pairs = _linked(sets, left, right, threshold)
+        pairs = linked_pairs(sets, left, right, threshold)
         if not len(pairs):
             return []
         n = np.bincount(pairs[:, 0], copies[pairs[:, 1]], len(ids))

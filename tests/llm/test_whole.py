@@ -4,9 +4,8 @@ import random
 from itertools import combinations
 
 import pytest
-from pyspark.sql import functions as F
 
-from partloom.llm import _util, decontam, html, linedup
+from partloom.llm import decontam, html, linedup
 
 
 # 1 HTML
@@ -61,23 +60,20 @@ def edited(rng, line, n):
     return "".join(out)
 
 
-def lines_frame(spark, lines):
-    return spark.createDataFrame([(i, x, 1) for i, x in enumerate(lines)], "lid bigint, line string, n bigint")
-
-
 def test_similarity_is_that_of_shingles_at_every_character(spark):
     rng = random.Random(11)
     pairs = []
     for k in range(300):
         a = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 11))) for _ in range(20)) + f" \U0001f600 {k}"
         pairs.append((a, edited(rng, a, rng.choice((1, 2, 2, 2, 3)))))
-    links = linedup.similar_lines(lines_frame(spark, [x for p in pairs for x in p])).collect()
-    got = {min(r.a, r.b) // 2 for r in links}
+    rows = [(2 * k + i, x) for k, p in enumerate(pairs) for i, x in enumerate(p)]
+    kept = {r.doc_id: r.n_kept for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {k for k in range(300) if not kept[2 * k + 1]}
     want = {k for k, (a, b) in enumerate(pairs) if jaccard(a, b) >= 0.8}
     assert 50 < len(want) < 250
     # Nothing under the threshold is linked, and what the bands miss is no more than chance.
     assert got <= want and len(want - got) <= 0.02 * len(want)
-    assert all(r.a // 2 == r.b // 2 for r in links)
+    assert all(kept[2 * k] for k in range(300))
 
 
 @pytest.mark.parametrize("block", [64, 2])
@@ -91,11 +87,10 @@ def test_all_lines_of_a_band_are_compared(spark, monkeypatch, block):
         chain.append(x[: 30 * k + 5] + "#%" + x[30 * k + 7 : 30 * k + 15] + "%#" + x[30 * k + 17 :])
     assert all(jaccard(a, b) >= 0.8 for a, b in zip(chain, chain[1:], strict=False)) and all(jaccard(a, b) < 0.8 for a, b in zip(chain, chain[2:], strict=False))
     far = ["".join(rng.choice("qrstuv ") for _ in range(200)) for _ in range(6)]
-    lines = [*chain, *far]
-    monkeypatch.setattr(linedup, "signatures", lambda df: df.select("lid", "rank", F.array(F.lit(1).cast("long")).alias("bands")))
-    monkeypatch.setattr(linedup, "BLOCK_LINES", block, raising=False)
-    rows = spark.createDataFrame([(i, x, 9 if i == 0 else 1) for i, x in enumerate(lines)], "lid bigint, line string, n bigint")
-    got = dict(_util.connected_components(linedup.similar_lines(rows), "a", "b").collect())
+    monkeypatch.setattr(linedup, "BLOCK_LINES", block)
+    lines = spark.createDataFrame(list(enumerate([*chain, *far])), "lid bigint, line string")
+    members = lines.selectExpr("1L AS band", "0L AS hub", "lid")
+    got = {r.lid: r.component for r in linedup.similar_components(members, lines).collect()}
     assert got == dict.fromkeys(range(6), 0)
 
 

@@ -277,27 +277,65 @@ def _compare_with_hub(batches: Iterator[pa.RecordBatch], threshold: float) -> It
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links between the lines of two blocks (i, j, lines) that lie in different components."""
+def _compare_units(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between components from units (i, j, lines): lines in one band and of different components
+    are compared, unless links of the unit join their components already. A unit gives a spanning
+    forest of what it finds, so at most one row a line."""
     for batch in batches:
-        links: set[tuple[int, int]] = set()
+        links: list[tuple[int, int]] = []
         for i, j, xs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            xs = xs.as_py()
-            sets = [shingle_set(x["line"]) for x in xs]
-            block, comp = np.array([x["block"] for x in xs]), np.array([x["component"] for x in xs])
-            pairs = linked_pairs(sets, np.flatnonzero(block == i), np.flatnonzero(block == j), threshold)
-            pairs = pairs[comp[pairs[:, 0]] != comp[pairs[:, 1]]]
-            links |= {tuple(sorted((xs[p]["lid"], xs[q]["lid"]))) for p, q in pairs.tolist()}
+            links += _unit_links(i, j, xs.as_py(), threshold)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
+def _unit_links(i: int, j: int, xs: list[dict], threshold: float) -> list[tuple[int, int]]:
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.setdefault(c, c)) != c:
+            root[c] = root[up]
+            c = up
+        return c
+
+    links: list[tuple[int, int]] = []
+
+    def join(p: int, q: int) -> None:
+        a, b = find(comp[p]), find(comp[q])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((comp[p], comp[q]))
+
+    comp = [x["component"] for x in xs]
+    sets = [shingle_set(x["line"]) for x in xs]
+    bands: dict[int, list[tuple[int, int]]] = {}
+    for k, x in enumerate(xs):
+        for t in x["tags"]:
+            bands.setdefault(t["band"], []).append((k, t["block"]))
+    seen: set[tuple[int, int]] = set()
+    for members in bands.values():
+        left, right = [k for k, block in members if block == i], [k for k, block in members if block == j]
+        if len(left) * len(right) > 1024:
+            for p, q in linked_pairs(sets, np.array(left), np.array(right), threshold).tolist():
+                join(p, q)
+            continue
+        for p in left:
+            for q in right:
+                pair = (p, q) if p < q else (q, p)
+                if comp[p] != comp[q] and pair not in seen:
+                    seen.add(pair)
+                    if find(comp[p]) != find(comp[q]) and is_linked(sets[p], sets[q], threshold):
+                        join(p, q)
+    return links
+
+
 def similar_components(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(lid, component) of the lines that links join, from ``members`` (band, hub, lid) and ``texts`` (lid, line).
 
-    Every line is compared with the hub of each of its bands; then all pairs of a band that
-    lie in different components are, so that no link between lines of a band is left out.
+    Every line is compared with the hub that it shares most bands with; then all pairs of a
+    band that lie in different components are, so that no link between lines of a band is left out.
     """
-    tried = members.where("lid <> hub").select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
+    shared = members.where("lid <> hub").groupBy("lid", "hub").agg(F.count("*").alias("k"))
+    tried = shared.groupBy(F.col("lid").alias("b")).agg(F.max(F.struct("k", "hub")).alias("x")).select(F.col("x.hub").alias("a"), "b")
     pairs = tried.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b").join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
     links = materialize(pairs.select("a", "b", "la", "lb").mapInArrow(lambda bs: _compare_with_hub(bs, threshold), "a bigint, b bigint"))
     comps = connected_components(links, "a", "b").withColumnRenamed("node", "lid")
@@ -309,34 +347,37 @@ def similar_components(members: DataFrame, texts: DataFrame, threshold: float =
 
 
 def _across(members: DataFrame, comps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between lines of different components that share a band.
+    """Links (a, b) between components that have similar lines in one band.
 
-    Bands of the same lines are compared once. The lines of a band's largest component are
-    cut into blocks that meet those of the others only; a row takes a pair of blocks, so
-    no band is gathered whole and only links are emitted.
+    Bands of the same lines are compared once. Bands of one largest component share units, to
+    each of which a line is sent once, and a unit's bands have a bounded number of lines on
+    average. The lines of a larger band are cut into blocks; those of its largest component
+    meet the others only. A unit takes a pair of blocks, so no band is gathered whole.
     """
     m = members.select("band", "lid").distinct().join(comps, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     m = m.join(texts.select("lid", F.length("line").alias("n_chars")), "lid")
     same = [F.bit_xor(F.xxhash64(F.lit(k), "lid")).alias(f"x{k}") for k in range(2)]
     parts = m.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("n_chars").alias("c"), *same)
     bands = parts.groupBy("band").agg(F.count("*").alias("n_parts"), F.max(F.struct("k", "component", "c")).alias("most"), F.sum("k").alias("k"), F.sum("c").alias("c"), *[F.bit_xor(f"x{k}").alias(f"x{k}") for k in range(2)])
-    bands = bands.where("n_parts > 1")
-    bands = bands.groupBy("k", "x0", "x1").agg(F.min(F.struct("band", "most", "c")).alias("b")).select("b.band", F.col("b.most.component").alias("most"), "k", "b.most", "b.c")
+    bands = bands.where("n_parts > 1").groupBy("k", "x0", "x1").agg(F.min(F.struct("band", "most", "c")).alias("b"))
     blocks = lambda k, c: F.greatest(F.lit(1), F.ceil(F.greatest(k / BLOCK_LINES, c / BLOCK_CHARS))).cast("int")
-    most = F.col("b.most")
-    return _block_links(m, bands.toDF("band", "largest", "k", "most", "c").select("band", "largest", blocks(F.col("most.k"), F.col("most.c")).alias("n_most"), blocks(F.col("k") - F.col("most.k"), F.col("c") - F.col("most.c")).alias("n_rest")), texts, threshold)
-
-
-def _block_links(m: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    # Blocks of the largest component are numbered from 0, those of the others from n_most on.
-    m = m.join(bands, "band")
-    h = F.xxhash64("lid")
-    m = m.withColumn("block", F.when(F.col("component") == F.col("largest"), F.pmod(h, F.col("n_most"))).otherwise(F.col("n_most") + F.pmod(h, F.col("n_rest"))).cast("int"))
-    others = F.when(F.col("component") == F.col("largest"), F.sequence(F.col("n_most"), F.col("n_most") + F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_most") + F.col("n_rest") - 1))
-    m = m.withColumn("other", F.explode(others))
-    m = m.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "lid", "component")
-    rows = m.join(texts, "lid").groupBy("band", "i", "j").agg(F.collect_list(F.struct("block", "lid", "component", "line")).alias("xs"))
-    return rows.select("i", "j", "xs").mapInArrow(lambda bs: _compare_blocks(bs, threshold), "a bigint, b bigint").distinct()
+    bands = bands.select("b.band", F.col("b.most.component").alias("largest"), "k", "b.c", F.col("b.most.k").alias("most_k"), F.col("b.most.c").alias("most_c"), blocks(F.col("k"), F.col("b.c")).alias("n_all"))
+    bands = materialize(bands.withColumns({"n_most": blocks(F.col("most_k"), F.col("most_c")), "n_rest": blocks(F.col("k") - F.col("most_k"), F.col("c") - F.col("most_c"))}))
+    small = bands.where("n_all = 1")
+    shares = small.groupBy("largest").agg(blocks(F.sum("k") / 4, F.sum("c") / 4).alias("n_units"))
+    small = small.join(shares, "largest").select("band", F.struct(F.lit(0).alias("kind"), F.col("largest").alias("of"), F.pmod(F.xxhash64("band"), "n_units").cast("int").alias("i"), F.lit(0).alias("j")).alias("unit"))
+    tag = lambda block: F.struct("band", block.cast("int").alias("block")).alias("tag")
+    inside = m.join(small, "band").select("unit", "lid", "component", tag(F.lit(0)))
+    big = m.join(bands.where("n_all > 1"), "band")
+    h, of_most = F.xxhash64("lid"), F.col("component") == F.col("largest")
+    big = big.withColumn("block", F.when(of_most, F.pmod(h, F.col("n_most"))).otherwise(F.col("n_most") + F.pmod(h, F.col("n_rest"))).cast("int"))
+    last = F.col("n_most") + F.col("n_rest") - 1
+    big = big.withColumn("other", F.explode(F.when(of_most, F.sequence(F.col("n_most"), last)).otherwise(F.sequence(F.lit(0), last))))
+    between = big.select(F.struct(F.lit(1).alias("kind"), F.col("band").alias("of"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("unit"), "lid", "component", tag(F.col("block")))
+    rows = inside.union(between).groupBy("unit", "lid").agg(F.first("component").alias("component"), F.collect_list("tag").alias("tags"))
+    rows = rows.join(texts, "lid").groupBy("unit").agg(F.collect_list(F.struct("lid", "component", "line", "tags")).alias("xs"))
+    side = lambda c: F.when(F.col("unit.kind") == 0, 0).otherwise(F.col(f"unit.{c}")).alias(c)
+    return rows.select(side("i"), side("j"), "xs").mapInArrow(lambda bs: _compare_units(bs, threshold), "a bigint, b bigint").distinct()
 
 
 def _fresh(df: DataFrame, *names: str) -> list[str]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import functional
+from .plans import evidence, functional, mappings, store  # noqa: F401  (they register their queries)
 from .plans.queries import Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q.spark for name, q in Q.items()} | functional.QUERIES
-ORACLE_SQL: dict[str, str] = {name: q.duck() for name, q in Q.items()}
+ORACLE_SQL: dict[str, str] = {name: q.duck() for name, q in Q.items()} | functional.ORACLE_SQL
 FLAGSHIP = "cells_by_method"

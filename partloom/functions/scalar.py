@@ -258,3 +258,41 @@ def position_like(d: Spark, x: str) -> str:
 
 def clamp(x: str) -> str:
     return f"greatest(0.0, least(1.0, coalesce({x}, 0.0)))"
+
+
+def anchor_pattern(d: Spark, x: str) -> str:
+    """A pattern that finds a value as whole tokens, whatever separates its parts; nothing but separators gives null."""
+    parts = f"trim({d.replace(x, r'[-_/\s]+', ' ')})"
+    escaped = d.replace(parts, r"([.^$|()\[\]{}*+?\\#&~])", r"\\#1")
+    body = f"replace({escaped}, ' ', {d.pattern(r'[\s\-_/]*')})"
+    return f"(CASE WHEN {parts} <> '' THEN {d.pattern(r'(?i)(^|[^A-Za-z0-9])')} || {body} || {d.pattern(r'($|[^A-Za-z0-9])')} END)"
+
+
+def found(d: Spark, text: str, pattern: str) -> str:
+    """Whether a pattern that is a value of the row stands in a text."""
+    return f"({text} RLIKE {pattern})" if d.name == "spark" else f"regexp_matches({text}, {pattern})"
+
+
+def numeric_token(d: Spark, x: str) -> str:
+    """A plain number with a point; anything else is null."""
+    v = strip(d, x)
+    return f"(CASE WHEN {d.matches(v, r'^[-+]?[0-9]+([.,][0-9]+)?$')} THEN replace({v}, ',', '.') END)"
+
+
+def counter_form(d: Spark, x: str) -> str:
+    """Form in which a counter-check compares: lower case, single blanks, a lone number with a point."""
+    v = f"lower({d.replace(strip(d, x), r'\s+', ' ')})"
+    return f"(CASE WHEN {d.matches(v, r'^[-+]?[0-9]+([.,][0-9]+)?$')} THEN replace({v}, ',', '.') ELSE {v} END)"
+
+
+def page_quantity(d: Spark, x: str) -> str:
+    """Whole quantity of a page's text: zeros after a point go, other decimals are none, only digits count."""
+    v = d.replace(f"trim({x})", r"([.,])0+\b")
+    digits = d.replace(v, r"[^0-9]+")
+    return f"(CASE WHEN {d.matches(v, r'[.,][0-9]')} THEN NULL WHEN length({digits}) BETWEEN 1 AND 18 THEN TRY_CAST({digits} AS BIGINT) END)"
+
+
+def dual_form(d: Spark, x: str) -> str:
+    """Form in which two extractions are compared; input without combining marks."""
+    v = f"replace({d.replace(f'lower({strip(d, x)})', r'\s+', ' ')}, '×', 'x')"
+    return f"(CASE WHEN {d.matches(v, r'^[0-9.,\s+-]+$')} THEN replace({v}, ',', '.') ELSE coalesce({v}, '') END)"

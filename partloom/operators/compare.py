@@ -47,9 +47,11 @@ def features(d: Spark) -> list[Stage]:
             f"{k}_hard": only(("Hardness",), fn.hardness_cores(d, k)),
             f"{k}_nr": only(("Material",), f"nullif({d.extract(k, r'([0-9])[.-]([0-9]{4})', 1)} || '.' || {d.extract(k, r'([0-9])[.-]([0-9]{4})', 2)}, '.')"),
             f"{k}_desc": only(("Description",), d.replace(d.replace(k, r"\bdin\s*[-_/]*\s*", "din"), "[^a-z0-9]")),
-            f"{k}_bool": f"(CASE WHEN {k} IN ({', '.join(map(lit, TRUE_WORDS))}) THEN 1 WHEN {k} IN ({', '.join(map(lit, FALSE_WORDS))}) THEN 0 END)",
-            f"{k}_coat": f"coalesce({lookup(d, k, _low('coating'))}, {k})",
-            f"{k}_nit": f"coalesce({lookup(d, k, _low('nitriding'))}, {k})",
+            f"{k}_bool": only(schema.BOOLEAN_FIELDS, f"(CASE WHEN {k} IN ({', '.join(map(lit, TRUE_WORDS))}) THEN 1 WHEN {k} IN ({', '.join(map(lit, FALSE_WORDS))}) THEN 0 END)"),
+            f"{k}_coat": only(("Coating",), f"coalesce({lookup(d, k, _low('coating'))}, {k})"),
+            f"{k}_nit": only(("Nitriding type",), f"coalesce({lookup(d, k, _low('nitriding'))}, {k})"),
+            f"{k}_maker": only(("Manufacturer",), f"coalesce({lookup(d, k, _low('manufacturer'))}, {k})"),
+            f"{k}_grp": only(("Parts Group",), f"coalesce({lookup(d, k, [(g.lower(), g.lower()) for g in schema.PART_GROUPS])}, {k})"),
         }
     two["nums"] = only(DIMENSIONS, fn.dimension_numbers(d, "e"))
     out.append(two)
@@ -82,6 +84,8 @@ DECIMAL: Outcome = [("m_dec IS NULL OR e_dec IS NULL", "UNCERTAIN", False, "deci
 BOOLEAN: Outcome = [("m_bool IS NULL OR e_bool IS NULL", "UNCERTAIN", False, "boolean not parseable"), ("m_bool = e_bool", "MATCH", True, "boolean match"), ("true", "MISMATCH", False, "boolean mismatch")]
 COATING: Outcome = [("m_coat = e_coat AND m = e", "MATCH", True, "alias match"), ("m_coat = e_coat", "MATCH", False, "alias match"), *GENERIC, DIFFER]
 NITRIDING: Outcome = [("m_nit = e_nit AND m = e", "MATCH", True, "alias match"), ("m_nit = e_nit", "MATCH", False, "alias match"), *GENERIC, DIFFER]
+MANUFACTURER: Outcome = [("m_maker = e_maker AND m = e", "MATCH", True, "alias match"), ("m_maker = e_maker", "MATCH", False, "alias match"), *GENERIC, DIFFER]
+PARTS_GROUP: Outcome = [("m_grp = e_grp AND m = e", "MATCH", True, "alias match"), ("m_grp = e_grp", "MATCH", False, "alias match"), *GENERIC, DIFFER]
 MATERIAL: Outcome = [*GENERIC, ("coalesce(m_nr = e_nr, false)", "MATCH", True, "same material number"), DIFFER]
 HARDNESS: Outcome = [*GENERIC, ("same_hard", "MATCH", True, "same hardness value"), DIFFER]
 DETAIL_NUMBER: Outcome = [*GENERIC, ("sure AND m_main <> '' AND e_main <> '' AND m_no = e_no", "MATCH", True, "main position match"), DIFFER]
@@ -116,6 +120,8 @@ def rules(d: Spark) -> list[tuple[tuple[str, ...], Outcome]]:
         (schema.BOOLEAN_FIELDS, BOOLEAN),
         (("Coating",), COATING),
         (("Nitriding type",), NITRIDING),
+        (("Manufacturer",), MANUFACTURER),
+        (("Parts Group",), PARTS_GROUP),
         (("Material",), MATERIAL),
         (("Hardness",), HARDNESS),
         (("Customer Part Number",), PART_NUMBER),

@@ -103,6 +103,8 @@ NITRIDING_ALIASES = {
     "Salzbadnitrieren": ["salt bath nitriding", "Salzbadnitrieren", "Tenifer", "QPQ"],
     "Einsatzhärten": ["case hardening", "Einsatzhärten", "carbonitriding"],
 }
+#: Our own small catalog of manufacturers; matched by name alone, never by likeness.
+MANUFACTURERS = {"Normteile Nord": ["normteile nord gmbh", "NTN"], "Werkzeugbau Sued": ["werkzeugbau sued ag"], **{f"Supplier#{i:09d}": [] for i in range(1, 101)}}
 #: Our own small material catalog (number, canonical name, aliases, hardness range in HRC, family).
 MATERIALS = [
     ("1.2343", "1.2343 (X37CrMoV5-1)", ["X37CrMoV5-1", "H11"], (44, 48), "steel"),
@@ -124,7 +126,7 @@ def alias_rows(catalog: str) -> list[tuple[str, str]]:
             for a in aliases:
                 out[key(a)] = name
     else:
-        source = {"coating": COATING_ALIASES, "nitriding": NITRIDING_ALIASES}[catalog]
+        source = {"coating": COATING_ALIASES, "nitriding": NITRIDING_ALIASES, "manufacturer": MANUFACTURERS}[catalog]
         for name, aliases in source.items():
             out[key(name)] = name
             for a in aliases:

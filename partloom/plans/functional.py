@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import scalar as fn
 from ..functions import udfs
 from ..functions.dialect import SPARK
-from ..operators import align, layout, schema
+from ..operators import align, layout, schema, transform
 from ..session import ship, table
 from ..streaming import feeds
-from . import bom
+from . import bom, relations
 
 # Centres of the columns of the projected pages.
 CENTRES = {"Pos": ("POS", 30.0), "Benennung": ("BENENNUNG", 120.0), "Menge": ("STK", 260.0), "Werkstoff": ("WERKSTOFF", 340.0)}
@@ -90,7 +90,7 @@ def unicode_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").cast("string").alias("key"), F.unix_micros("ts").cast("double").alias("us"), "event_id", "event_type").select("key", (F.col("us") / 1e6).alias("ts"), "event_id", (F.col("event_type") != "error").alias("success"))
+    return e.select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), "event_id", "event_type").select("key", (F.col("us") / 1e6).alias("ts"), "event_id", (F.col("event_type") != "error").alias("success"))
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +101,16 @@ def login_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.lockout(_attempts(spark, sf_dir), max_failures=2, lock_seconds=86400.0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (layout_cells, layout_rows, layout_spatial_rows, dual_alignment, json_salvage, position_scan, fuzzy_alias, unicode_forms, rate_limit, login_lockout)}
+def pivot_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a source row with a column a target field, straight from the staged columns."""
+    return transform.transform_wide(bom.source(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (layout_cells, layout_rows, layout_spatial_rows, dual_alignment, json_salvage, position_scan, fuzzy_alias, unicode_forms, rate_limit, login_lockout, pivot_to_target)}
+
+#: The pivot as DuckDB makes it of the cells.
+ORACLE_SQL: dict[str, str] = {
+    "pivot_to_target": f"WITH {relations.duck_with(('cells',))} SELECT doc_id, row_index, "
+    + ", ".join(f"max(CASE WHEN field_ord = {i} THEN value END) AS c{i:02d}" for i in range(len(schema.TARGET_FIELDS)))
+    + " FROM cells GROUP BY doc_id, row_index"
+}

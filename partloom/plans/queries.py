@@ -82,8 +82,8 @@ def transformed_cells(d: Spark) -> str:
 def transform_stats(d: Spark) -> str:
     n = lambda c: f"sum(CASE WHEN {c} THEN 1 ELSE 0 END)"
     return f"""SELECT doc_id, count(*) AS total_cells, {n("method NOT IN ('passthrough', 'empty')")} AS transformed, {n("method = 'passthrough'")} AS passthrough, {n("method = 'empty'")} AS empty_cells,
-        {n("method LIKE 'master_data:%'")} AS master_data_matched, {n("method = 'dimension_split'")} AS dimension_split, {n("field = 'Hardness' AND method IN ('regex_parse', 'extracted_from_material')")} AS hardness_parsed, round(1e-9 + avg(confidence), 6) AS avg_confidence
-        FROM cells GROUP BY doc_id"""
+        {n("method LIKE 'master_data:%'")} AS master_data_matched, {n("method = 'dimension_split'")} AS dimension_split, {n("field = 'Hardness' AND method IN ('regex_parse', 'extracted_from_material')")} AS hardness_parsed, round(1e-9 + avg(confidence), 6) AS avg_confidence,
+        {n("method = 'dimension_split' AND confidence = 0.9")} AS inch_converted FROM cells GROUP BY doc_id"""
 
 
 @query("rule_scores", "cells")
@@ -93,13 +93,7 @@ def rule_scores(d: Spark) -> str:
 
 @query("combined_dimension_source", "bom_src")
 def combined_dimension_source(d: Spark) -> str:
-    return f"SELECT DISTINCT doc_id, {transform.combined_dimension(d)} AS combined FROM bom_src"
-
-
-@query("pivot_to_target", "cells")
-def pivot_to_target(d: Spark) -> str:
-    cols = ", ".join(f"max(CASE WHEN field_ord = {i} THEN value END) AS c{i:02d}" for i in range(len(schema.TARGET_FIELDS)))
-    return f"SELECT doc_id, row_index, {cols} FROM cells GROUP BY doc_id, row_index"
+    return f"WITH b AS ({transform.bound_sql(d)}) SELECT doc_id, count(dim_src) AS n_values, min(dim_src) AS first_value FROM b GROUP BY doc_id"
 
 
 # Comparators.
@@ -171,17 +165,23 @@ def hard_vetoes(d: Spark) -> str:
     return f"{facts(d)}, listed AS (SELECT {d.join(d.compact(d.array(*parts)), ',')} AS vetoes FROM verified) SELECT vetoes, count(*) AS n FROM listed GROUP BY vetoes"
 
 
+def counted_rows(where: str = "") -> str:
+    """Classes counted for each row, then for each document, so that rows are counted without a distinct."""
+    n = lambda c: f"sum(CASE WHEN class = '{c}' THEN 1 ELSE 0 END)"
+    return f"per_row AS (SELECT doc_id, row_index, count(*) AS n, {n('GREEN')} AS green, {n('YELLOW')} AS yellow, {n('RED')} AS red FROM verified GROUP BY doc_id, row_index){where}"
+
+
 @query("document_audit", "ev")
 def document_audit(d: Spark) -> str:
-    n = lambda c: f"sum(CASE WHEN class = '{c}' THEN 1 ELSE 0 END)"
-    return f"""{facts(d)} SELECT doc_id, count(DISTINCT row_index) AS total_rows, count(*) AS total_scored, {n('GREEN')} AS green, {n('YELLOW')} AS yellow, {n('RED')} AS red,
-        round(1e-9 + {n('GREEN')} * CAST(100 AS DOUBLE) / count(*), 4) AS green_percent FROM verified GROUP BY doc_id"""
+    return f"""{facts(d)}, {counted_rows()} SELECT doc_id, count(*) AS total_rows, CAST(sum(n) AS BIGINT) AS total_scored, CAST(sum(green) AS BIGINT) AS green, CAST(sum(yellow) AS BIGINT) AS yellow, CAST(sum(red) AS BIGINT) AS red,
+        round(1e-9 + sum(green) * CAST(100 AS DOUBLE) / sum(n), 4) AS green_percent FROM per_row GROUP BY doc_id"""
 
 
 @query("worst_class_per_row", "ev")
 def worst_class_per_row(d: Spark) -> str:
-    rank = "CASE class WHEN 'RED' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'GREEN' THEN 1 ELSE 0 END"
-    return f"{facts(d)}, w AS (SELECT doc_id, row_index, max({rank}) AS worst FROM verified GROUP BY doc_id, row_index) SELECT doc_id, row_index, CASE worst WHEN 3 THEN 'RED' WHEN 2 THEN 'YELLOW' WHEN 1 THEN 'GREEN' ELSE 'NEUTRAL' END AS worst_class FROM w"
+    """The most severe class of a row, of equals the first in column order; confirmed by hand ranks with green."""
+    rank = "CASE class WHEN 'RED' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'GREEN' THEN 1 WHEN 'MANUAL_CONFIRMED' THEN 1 ELSE 0 END"
+    return f"{facts(d)}, w AS (SELECT doc_id, row_index, max({rank} * 100 + 99 - field_ord) AS worst, max_by(class, {rank} * 100 + 99 - field_ord) AS worst_class FROM verified GROUP BY doc_id, row_index) SELECT doc_id, row_index, worst_class, 99 - worst % 100 AS field_ord FROM w"
 
 
 @query("empty_cells", "cells")
@@ -190,10 +190,18 @@ def empty_cells(d: Spark) -> str:
     return f"WITH e AS (SELECT *, field IN ({need}) AS required, doc_id % 10 = 0 AS blocking FROM cells WHERE value IS NULL), c AS (SELECT field, {gate.empty_cell(gate.Config())} AS class FROM e) SELECT field, class, count(*) AS n FROM c GROUP BY field, class"
 
 
-@query("completeness_verdict", "bom_src")
+@query("completeness_verdict", "document_facts")
 def completeness_verdict(d: Spark) -> str:
-    return """WITH p AS (SELECT doc_id, count(*) AS expected, sum(CASE WHEN l_partkey % 10 <> 3 THEN 1 ELSE 0 END) AS scored FROM bom_src GROUP BY doc_id)
-        SELECT doc_id, expected, scored, CASE WHEN expected = 0 THEN 'no_anchor' WHEN scored = 0 THEN 'nothing_scored' WHEN scored < expected THEN 'rows_missing' ELSE 'complete' END AS verdict FROM p"""
+    """Whether a document's completeness rests on an anchor of its own, and why: six reasons in order."""
+    reasons = [
+        ("NOT is_pdf", "NOT_A_PDF"),
+        ("vision_fallback", "VISION_FALLBACK"),
+        ("guard_basis NOT IN ('position_set', 'row_band_set')", "NO_ANCHOR"),
+        ("NOT has_text_layer", "NO_TEXT_LAYER"),
+        ("guard_basis = 'row_band_set'", "ROW_BANDS_FROM_TEXT_LAYER"),
+    ]
+    why = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r in reasons) + " ELSE 'POSITIONS_FROM_TEXT_LAYER' END"
+    return f"SELECT doc_id, NOT ({' OR '.join(c for c, _ in reasons[:4])}) AS guaranteed, {why} AS reason FROM document_facts"
 
 
 @query("counter_check_batches", "ev")
@@ -208,44 +216,44 @@ def counter_check_batches(d: Spark) -> str:
 CV = "SELECT doc_id, row_index, field, severity, message FROM"
 
 
-def _valued(fields: str) -> str:
-    return f"(SELECT doc_id, row_index, field, value FROM cells WHERE field IN ({fields}) AND coalesce(value, '') <> '')"
+def _valued(relation: str, fields: str) -> str:
+    return f"(SELECT doc_id, row_index, field, value FROM {relation} WHERE field IN ({fields}) AND coalesce(value, '') <> '')"
 
 
-@query("cv_required_empty", "cells")
+@query("cv_required_empty", "cells_required")
 def cv_required_empty(d: Spark) -> str:
     need = ", ".join(lit(f) for f, _, r in schema.TARGET_FIELDS if r)
-    return f"SELECT doc_id, row_index, field, 'warning' AS severity, 'Required field is empty' AS message FROM cells WHERE field IN ({need}) AND coalesce(value, '') = ''"
+    return f"SELECT doc_id, row_index, field, 'warning' AS severity, 'Required field is empty' AS message FROM cells_required WHERE field IN ({need}) AND coalesce(value, '') = ''"
 
 
-@query("cv_duplicate_positions", "cells")
+@query("cv_duplicate_positions", "cells_positions")
 def cv_duplicate_positions(d: Spark) -> str:
     w = "OVER (PARTITION BY doc_id, v ORDER BY row_index)"
-    return f"""WITH p AS (SELECT doc_id, row_index, {fn.strip(d, 'value')} AS v FROM {_valued("'Detail Number'")}), n AS (SELECT *, row_number() {w} AS k, first_value(row_index) {w} AS first_row FROM p)
+    return f"""WITH p AS (SELECT doc_id, row_index, {fn.strip(d, 'value')} AS v FROM {_valued("cells_positions", "'Detail Number'")}), n AS (SELECT *, row_number() {w} AS k, first_value(row_index) {w} AS first_row FROM p)
         SELECT doc_id, row_index, 'warning' AS severity, 'Duplicate: ''' || v || ''' also in row ' || CAST(first_row AS STRING) AS message FROM n WHERE k > 1"""
 
 
-@query("cv_dimension_plausible", "cells")
+@query("cv_dimension_plausible", "cells_dimensions")
 def cv_dimension_plausible(d: Spark) -> str:
     v = f"({d.number(f'replace({fn.strip(d, chr(118) + chr(97) + chr(108) + chr(117) + chr(101))}, {lit(",")}, {lit(".")})')})"
-    return f"""SELECT doc_id, row_index, field, CASE WHEN {v} < 0.1 THEN 'Very small' ELSE 'Very large' END AS message FROM {_valued("'Dimensions X/D', 'Dimensions Y/L', 'Dimensions Z'")} x WHERE {v} < 0.1 OR {v} > 5000"""
+    return f"""SELECT doc_id, row_index, field, CASE WHEN {v} < 0.1 THEN 'Very small' ELSE 'Very large' END AS message FROM {_valued("cells_dimensions", "'Dimensions X/D', 'Dimensions Y/L', 'Dimensions Z'")} x WHERE {v} < 0.1 OR {v} > 5000"""
 
 
-@query("cv_material_hardness", "cells")
+@query("cv_material_hardness", "cells_hardness")
 def cv_material_hardness(d: Spark) -> str:
     """Aluminium over 40 HRC is an error; else the range of the catalog's material with a tolerance of 5."""
     low = " ".join(f"WHEN {lit(name)} THEN {h[0]}" for _, name, _, h, _ in schema.MATERIALS if h)
     high = " ".join(f"WHEN {lit(name)} THEN {h[1]}" for _, name, _, h, _ in schema.MATERIALS if h)
-    return f"""WITH m AS {_valued("'Material'")}, h AS {_valued("'Hardness'")},
-        j AS (SELECT m.doc_id, m.row_index, m.value AS mat, {fn.hardness_low(d, 'h.value')} AS lo, {fn.hardness_high(d, 'h.value')} AS hi, {d.contains('upper(h.value)', lit('HB'))} AS hb FROM m JOIN h ON m.doc_id = h.doc_id AND m.row_index = h.row_index),
+    return f"""WITH w AS (SELECT doc_id, row_index, max(CASE WHEN field = 'Material' THEN value END) AS mat, max(CASE WHEN field = 'Hardness' THEN value END) AS hard FROM cells_hardness GROUP BY doc_id, row_index),
+        j AS (SELECT doc_id, row_index, mat, {fn.hardness_low(d, 'hard')} AS lo, {fn.hardness_high(d, 'hard')} AS hi, {d.contains('upper(hard)', lit('HB'))} AS hb FROM w WHERE coalesce(mat, '') <> '' AND coalesce(hard, '') <> ''),
         r AS (SELECT *, CAST(CASE mat {low} END AS DOUBLE) AS elo, CAST(CASE mat {high} END AS DOUBLE) AS ehi, {d.contains('lower(mat)', lit('alu'))} OR {d.contains('lower(mat)', lit('alsi'))} AS alu FROM j WHERE NOT hb AND lo IS NOT NULL)
         SELECT doc_id, row_index, CASE WHEN alu AND hi > 40 THEN 'error' WHEN hi < elo - 5 THEN 'info' ELSE 'warning' END AS severity FROM r WHERE (alu AND hi > 40) OR hi < elo - 5 OR lo > ehi + 5"""
 
 
-@query("cv_counts", "cells")
+@query("cv_counts", "cells_counts")
 def cv_counts(d: Spark) -> str:
     n = f"(CASE WHEN {d.matches('value', r'^\s*[-+]?[0-9]+\s*$')} THEN TRY_CAST(trim(value) AS BIGINT) END)"
-    return f"""WITH c AS (SELECT *, {n} AS n FROM {_valued("'Design Count', 'Spare Count'")} x)
+    return f"""WITH c AS (SELECT *, {n} AS n FROM {_valued("cells_counts", "'Design Count', 'Spare Count'")} x)
         SELECT doc_id, row_index, field, 'warning' AS severity, 'Not an integer' AS message FROM c WHERE n IS NULL
         UNION ALL SELECT doc_id, row_index, field, 'warning', 'Design Count should be >= 1' FROM c WHERE field = 'Design Count' AND n < 1
         UNION ALL SELECT doc_id, row_index, field, 'error', 'Negative count' FROM c WHERE n < 0"""
@@ -258,23 +266,12 @@ def cv_weight_density(d: Spark) -> str:
     return f"WITH w AS ({transform.staged_sql('bom_src', stages)}), m AS (SELECT doc_id, row_index, max(ratio) AS ratio FROM w GROUP BY doc_id, row_index) SELECT doc_id, row_index, 'error' AS severity FROM m WHERE ratio < 0.1 OR ratio > 10"
 
 
-@query("cv_issue_counts", "cells")
+@query("cv_issue_counts", "cells_counts")
 def cv_issue_counts(d: Spark) -> str:
     return f"WITH i AS (SELECT field, severity FROM ({cv_counts(d).replace('WITH c AS', 'WITH c AS', 1)}) q) SELECT field, severity, count(*) AS n FROM i GROUP BY field, severity"
 
 
-# Mapping validation.
-SAMPLES = "SELECT doc_id, field, value, raw_value, row_index FROM cells WHERE coalesce(raw_value, '') <> '' AND row_index < 10"
-
-
-@query("mapping_type_check", "cells")
-def mapping_type_check(d: Spark) -> str:
-    numeric, whole = d.matches("raw_value", r"^[0-9.,\s\-+±/xX×Øø°]+$"), d.matches("raw_value", r"^[0-9]+$")
-    return f"""WITH s AS ({SAMPLES}), f AS (SELECT doc_id, field, avg(CASE WHEN {numeric} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS numeric_share, avg(CASE WHEN {whole} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS integer_share, count(*) AS n
-          FROM s WHERE field IN ('Design Count', 'Spare Count', 'Dimensions X/D', 'Dimensions Z') GROUP BY doc_id, field)
-        SELECT doc_id, field, round(1e-9 + numeric_share, 6) AS numeric_share, round(1e-9 + integer_share, 6) AS integer_share, CASE WHEN field LIKE '%Count' AND integer_share < 0.6 THEN 0.15 WHEN field LIKE 'Dim%' AND numeric_share < 0.6 THEN 0.10 ELSE 0.0 END AS penalty FROM f"""
-
-
+# Mapping validation; the checks over a mapping table are in ``mappings.py``.
 @query("mapping_duplicate_targets", "supplier")
 def mapping_duplicate_targets(d: Spark) -> str:
     """Several source columns mapped to one target: the most confident stays, others lose it."""
@@ -300,24 +297,11 @@ def mapping_value_evidence(d: Spark) -> str:
         SELECT doc_id, round(1e-9 + mat, 6) AS material_share, round(1e-9 + dim, 6) AS dimension_share, CASE WHEN mat >= 0.4 THEN 0.89 ELSE 0.80 END AS material_candidate, CASE WHEN dim >= 0.4 THEN 0.89 ELSE 0.80 END AS dimension_candidate FROM s"""
 
 
-@query("mapping_consensus", "supplier")
-def mapping_consensus(d: Spark) -> str:
-    """A second opinion that disagrees caps the confidence at .85; one on an unknown field is ignored."""
-    return """WITH a AS (SELECT s_suppkey AS source_column, s_nationkey AS target, round(1e-9 + abs(s_acctbal) / 10000, 4) AS confidence FROM supplier),
-        b AS (SELECT s_suppkey AS source_column, CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey + 1 WHEN s_suppkey % 7 = 0 THEN 99 ELSE s_nationkey END AS other FROM supplier)
-        SELECT a.source_column, a.target, CASE WHEN b.other < 25 AND b.other <> a.target THEN least(a.confidence, 0.85) ELSE a.confidence END AS confidence FROM a LEFT JOIN b ON a.source_column = b.source_column"""
-
-
 @query("mapping_summary", "cells")
 def mapping_summary(d: Spark) -> str:
     return "SELECT doc_id, count(DISTINCT CASE WHEN method <> 'empty' THEN field END) AS mapped, round(1e-9 + avg(CASE WHEN method <> 'empty' THEN confidence END), 6) AS avg_confidence FROM cells GROUP BY doc_id"
 
 
-@query("mapping_ambiguous_counts", "cells")
-def mapping_ambiguous_counts(d: Spark) -> str:
-    return "SELECT doc_id, 'design/spare ambiguous' AS message FROM cells WHERE field IN ('Design Count', 'Spare Count') AND coalesce(raw_value, '') <> '' GROUP BY doc_id HAVING count(DISTINCT field) = 2 AND min(raw_value) = max(raw_value)"
-
-
 # Reconciliation and completeness.
 def positions(d: Spark) -> str:
     p = fn.position(d, "Pos")
@@ -334,25 +318,33 @@ def reconcile_positions(d: Spark) -> str:
 
 @query("reconcile_multiset", "bom_src")
 def reconcile_multiset(d: Spark) -> str:
-    """Positions that occur more often in the document than in the extraction, with the shortfall."""
-    return f"""{positions(d)}, a AS (SELECT doc_id, pos, count(*) AS n FROM pdf WHERE pos <> '' GROUP BY doc_id, pos), b AS (SELECT doc_id, pos, count(*) AS n FROM ext WHERE pos <> '' GROUP BY doc_id, pos)
-        SELECT a.doc_id, a.pos, a.n AS pdf_count, b.n AS extracted_count, a.n - b.n AS shortfall FROM a JOIN b ON a.doc_id = b.doc_id AND a.pos = b.pos WHERE a.n >= 2 AND a.n > b.n"""
+    """Positions that occur more often in the document than in the extraction: a synthetic row for each that is short, after the last row."""
+    each = "LATERAL VIEW explode(sequence(1, CAST(shortfall AS INT))) e AS nth" if d.name == "spark" else ", unnest(generate_series(1, shortfall)) AS e(nth)"
+    return f"""{positions(d)}, a AS (SELECT doc_id, pos, count(*) AS n FROM pdf WHERE pos <> '' GROUP BY doc_id, pos), b AS (SELECT doc_id, pos, count(*) AS n FROM ext WHERE pos <> '' GROUP BY doc_id, pos),
+        short_of AS (SELECT a.doc_id, a.pos, a.n AS pdf_count, b.n AS extracted_count, a.n - b.n AS shortfall FROM a JOIN b ON a.doc_id = b.doc_id AND a.pos = b.pos WHERE a.n >= 2 AND a.n > b.n),
+        x AS (SELECT doc_id, pos, pdf_count, extracted_count, CAST(nth AS BIGINT) AS nth FROM short_of {each}), last_row AS (SELECT doc_id, max(row_index) AS top FROM ext GROUP BY doc_id)
+        SELECT x.doc_id, x.pos, pdf_count, extracted_count, nth, top + row_number() OVER (PARTITION BY x.doc_id ORDER BY x.pos, nth) AS row_index, 'synthetic_pdf_only_missing' AS method FROM x JOIN last_row l ON x.doc_id = l.doc_id"""
 
 
 @query("reconcile_bands", "bom_src")
 def reconcile_bands(d: Spark) -> str:
-    return f"""{positions(d)}, band AS (SELECT doc_id, 'p1:b' || lpad(CAST(row_index AS STRING), 4, '0') AS band_id FROM pdf), got AS (SELECT doc_id, 'p1:b' || lpad(CAST(row_index AS STRING), 4, '0') AS band_id FROM ext)
-        SELECT b.doc_id, b.band_id FROM band b LEFT JOIN got g ON b.doc_id = g.doc_id AND b.band_id = g.band_id WHERE g.doc_id IS NULL"""
+    return f"""{positions(d)}, band AS (SELECT doc_id, 'p1:b' || lpad(CAST(row_index AS STRING), 4, '0') AS band_id FROM pdf), got AS (SELECT doc_id, 'p1:b' || lpad(CAST(row_index AS STRING), 4, '0') AS band_id FROM ext),
+        lost AS (SELECT b.doc_id, b.band_id FROM band b LEFT JOIN got g ON b.doc_id = g.doc_id AND b.band_id = g.band_id WHERE g.doc_id IS NULL), last_row AS (SELECT doc_id, max(row_index) AS top FROM ext GROUP BY doc_id)
+        SELECT m.doc_id, m.band_id, coalesce(top, -1) + row_number() OVER (PARTITION BY m.doc_id ORDER BY m.band_id) AS row_index, CAST(NULL AS {d.string}) AS value, 'synthetic_pdf_only_missing' AS method FROM lost m LEFT JOIN last_row l ON m.doc_id = l.doc_id"""
 
 
-@query("guard_basis", "bom_src")
+@query("guard_basis", "document_facts")
 def guard_basis(d: Spark) -> str:
-    return f"{positions(d)} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'row_band_set' WHEN count(DISTINCT nullif(pos, '')) > 0 THEN 'position_set' WHEN count(*) > 0 THEN 'row_count_fallback' ELSE 'none' END AS guard_basis FROM pdf GROUP BY doc_id"
+    """Bands of the text layer, else positions, else the number of rows."""
+    return "SELECT doc_id, guard_basis, expected FROM document_facts"
 
 
 @query("coverage_guard", "bom_src")
 def coverage_guard(d: Spark) -> str:
-    return f"{positions(d)} SELECT p.doc_id, count(*) AS missing_rows, min(p.row_index) AS first_missing FROM pdf p LEFT JOIN ext e ON p.doc_id = e.doc_id AND p.row_index = e.row_index WHERE e.doc_id IS NULL GROUP BY p.doc_id"
+    """A red cell for each expected position that no scored row has, numbered after the last row."""
+    return f"""{positions(d)}, master AS (SELECT DISTINCT doc_id, pos FROM pdf WHERE pos <> ''), scored AS (SELECT DISTINCT doc_id, pos FROM ext WHERE pos <> ''), last_row AS (SELECT doc_id, max(row_index) AS top FROM ext GROUP BY doc_id)
+        SELECT m.doc_id, coalesce(l.top, -1) + row_number() OVER (PARTITION BY m.doc_id ORDER BY m.pos) AS row_index, 'Detail Number' AS target_field, m.pos AS transformed_value, 'synthetic_pdf_only_missing' AS method, 'MISMATCH' AS match_result, 'A' AS category, 'RECONCILER_MISSING_POSITION' AS hard_vetoes, 'RED' AS class, CAST(0 AS DOUBLE) AS final_score
+        FROM master m LEFT JOIN scored s ON m.doc_id = s.doc_id AND m.pos = s.pos LEFT JOIN last_row l ON m.doc_id = l.doc_id WHERE s.doc_id IS NULL"""
 
 
 @query("export_guard", "bom_src")
@@ -378,7 +370,7 @@ def position_counts(d: Spark) -> str:
 def full_row_dedup(d: Spark) -> str:
     from .bom import CELLS
 
-    cols = ", ".join(c for c in CELLS if c not in ("Pos", "Hersteller"))
+    cols = ", ".join(CELLS)
     return f"WITH n AS (SELECT doc_id, row_index, row_number() OVER (PARTITION BY doc_id, {cols} ORDER BY row_index) AS k FROM bom_src) SELECT doc_id, row_index FROM n WHERE k = 1"
 
 
@@ -393,26 +385,6 @@ def column_jaccard(d: Spark) -> str:
     return f"WITH f AS (SELECT doc_id, row_index, {f} FROM bom_src), g AS (SELECT doc_id, row_index, {', '.join(f'b{i}' for i in range(5))}, {p} FROM f) SELECT doc_id, row_index, round(1e-9 + CASE WHEN {any_of} = 0 THEN 1.0 ELSE ({both}) * CAST(1 AS DOUBLE) / ({any_of}) END, 6) AS jaccard FROM g WHERE p0 IS NOT NULL"
 
 
-@query("plausibility_flags", "bom_src")
-def plausibility_flags(d: Spark) -> str:
-    """Per-cell plausibility of typed columns: counts in range, forbidden text in numbers, odd dimension lengths."""
-    q = fn.quantity(d, "Menge")
-    nums = fn.dimension_numbers(d, "Masse")
-    return f"""SELECT doc_id, row_index, 'Menge' AS source_column, 'not a count' AS message FROM bom_src WHERE NOT {fn.blank(d, 'Menge')} AND {q} IS NULL
-        UNION ALL SELECT doc_id, row_index, 'Menge', 'count out of range' FROM bom_src WHERE {q} IS NOT NULL AND ({q} < 1 OR {q} > 45)
-        UNION ALL SELECT doc_id, row_index, 'Masse', 'no number' FROM bom_src WHERE NOT {fn.blank(d, 'Masse')} AND {d.size(nums)} = 0"""
-
-
-@query("non_data_rows", "bom_src")
-def non_data_rows(d: Spark) -> str:
-    """Tags of rows that hold no part: no position, and few cells or the text of a footer. Rows are never dropped."""
-    text = "lower(coalesce(Benennung, '') || ' ' || coalesce(Masse, ''))"
-    footer = d.matches(text, r"siehe zeichnung|seite [0-9]+|powered by")
-    filled = " + ".join(f"CASE WHEN {fn.blank(d, c)} THEN 0 ELSE 1 END" for c in ("Pos", "Reserve", "Benennung", "Masse", "Werkstoff"))
-    return f"""SELECT doc_id, row_index, 'NO_POSITION' || CASE WHEN {footer} THEN ',FOOTER_OR_HEADER_TEXT' WHEN {filled} <= 1 THEN ',SPARSE_ROW' ELSE '' END AS flags
-        FROM bom_src WHERE NOT {fn.position_like(d, 'Pos')} AND ({footer} OR {filled} <= 1)"""
-
-
 @query("value_plausible", "cells")
 def value_plausible(d: Spark) -> str:
     n = f"({d.number(f'replace({fn.strip(d, "value")}, {lit(",")}, {lit(".")})')})"
@@ -421,20 +393,23 @@ def value_plausible(d: Spark) -> str:
 
 
 # Review mutations.
-@query("apply_cell_edits", "ev")
+@query("apply_cell_edits", "ev", "cell_edit")
 def apply_cell_edits(d: Spark) -> str:
-    """Edits of a batch: the last of a cell wins, the cell is confirmed by hand and its scores are raised."""
-    return f"""{facts(d)}, edit AS (SELECT doc_id, row_index, field, 'E' || CAST(k AS STRING) AS new_value, k FROM (SELECT doc_id, row_index, field, row_index % 3 AS k FROM verified WHERE (doc_id + row_index) % 5 = 0 UNION ALL SELECT doc_id, row_index, field, 9 AS k FROM verified WHERE (doc_id + row_index) % 10 = 0) q),
-        last_edit AS (SELECT *, row_number() OVER (PARTITION BY doc_id, row_index, field ORDER BY k DESC) AS r FROM edit)
-        SELECT v.doc_id, v.row_index, v.field, coalesce(e.new_value, v.value) AS value, CASE WHEN e.new_value IS NOT NULL THEN 'MANUAL_CONFIRMED' ELSE v.class END AS class, round(1e-9 + CASE WHEN e.new_value IS NOT NULL THEN greatest(v.soft, 0.95) ELSE v.soft END, 4) AS soft_score
-        FROM verified v LEFT JOIN (SELECT * FROM last_edit WHERE r = 1) e ON v.doc_id = e.doc_id AND v.row_index = e.row_index AND v.field = e.field"""
+    """Edits of a batch: the last of a cell wins, the cell is confirmed by hand and its scores are raised; an edit of no cell adds one."""
+    return f"""{facts(d)}, last_edit AS (SELECT doc_id, row_index, field, max_by(new_value, edit_ord) AS new_value FROM cell_edit GROUP BY doc_id, row_index, field)
+        SELECT coalesce(v.doc_id, e.doc_id) AS doc_id, coalesce(v.row_index, e.row_index) AS row_index, coalesce(v.field, e.field) AS field, coalesce(e.new_value, v.value) AS value, CASE WHEN e.new_value IS NOT NULL THEN 'MANUAL_CONFIRMED' ELSE v.class END AS class,
+               round(1e-9 + CASE WHEN e.new_value IS NOT NULL THEN greatest(coalesce(v.soft, CAST(0 AS DOUBLE)), CAST(0.95 AS DOUBLE)) ELSE v.soft END, 4) AS soft_score, CASE WHEN e.new_value IS NOT NULL THEN v.value END AS previous_value
+        FROM verified v FULL JOIN last_edit e ON v.doc_id = e.doc_id AND v.row_index = e.row_index AND v.field = e.field"""
 
 
-@query("apply_row_exclusions", "ev")
+@query("apply_row_exclusions", "ev", "row_exclusion")
 def apply_row_exclusions(d: Spark) -> str:
-    """Counters of a document after rows are excluded."""
-    n = lambda c: f"sum(CASE WHEN class = '{c}' THEN 1 ELSE 0 END)"
-    return f"{facts(d)}, x AS (SELECT DISTINCT doc_id, row_index FROM verified WHERE (doc_id * 3 + row_index) % 7 = 0) SELECT v.doc_id, count(*) AS total_scored, {n('GREEN')} AS green, {n('YELLOW')} AS yellow, {n('RED')} AS red, count(DISTINCT v.row_index) AS total_rows FROM verified v LEFT JOIN x ON v.doc_id = x.doc_id AND v.row_index = x.row_index WHERE x.doc_id IS NULL GROUP BY v.doc_id"
+    """Counters of a document after rows are excluded and some of them restored: the last request of a row decides, unknown rows count for nothing."""
+    # Rows and exclusions meet in one aggregate, not in a join.
+    return f"""{facts(d)}, x AS (SELECT doc_id, row_index FROM row_exclusion GROUP BY doc_id, row_index HAVING max_by(excluded, request_ord)), {counted_rows()},
+        both_of AS (SELECT doc_id, row_index, n, green, yellow, red, 0 AS gone FROM per_row UNION ALL SELECT doc_id, row_index, 0, 0, 0, 0, 1 FROM x),
+        kept AS (SELECT doc_id, row_index, sum(n) AS n, sum(green) AS green, sum(yellow) AS yellow, sum(red) AS red FROM both_of GROUP BY doc_id, row_index HAVING max(gone) = 0)
+        SELECT doc_id, CAST(sum(n) AS BIGINT) AS total_scored, CAST(sum(green) AS BIGINT) AS green, CAST(sum(yellow) AS BIGINT) AS yellow, CAST(sum(red) AS BIGINT) AS red, count(*) AS total_rows FROM kept GROUP BY doc_id"""
 
 
 @query("review_queue", "ev")
@@ -511,7 +486,8 @@ def job_page(d: Spark) -> str:
 
 @query("job_queue_position", "job")
 def job_queue_position(d: Spark) -> str:
-    return "SELECT job_id, row_number() OVER (PARTITION BY customer ORDER BY created_at, job_id) AS queue_position FROM job WHERE status = 'pending'"
+    """One queue, first in first out. Only pending jobs are numbered, which a queue's bound keeps few."""
+    return "SELECT job_id, row_number() OVER (ORDER BY created_at, job_id) AS queue_position FROM job WHERE status = 'pending'"
 
 
 @query("job_recovery", "job")
@@ -612,11 +588,3 @@ def flag_columns(d: Spark) -> str:
 @query("text_layer_present", "bom_src")
 def text_layer_present(d: Spark) -> str:
     return "SELECT doc_id, sum(length(coalesce(Benennung, ''))) >= 50 AS has_text_layer, sum(length(coalesce(Benennung, ''))) < 100 AS is_scanned FROM bom_src GROUP BY doc_id"
-
-
-@query("page_anomalies", "bom_src")
-def page_anomalies(d: Spark) -> str:
-    """Pages of thirty rows of which most rows are mostly empty."""
-    cols = ("Pos", "Reserve", "Masse", "Haerte", "Nitriert", "Werkstoff")
-    empty = " + ".join(f"CASE WHEN {fn.blank(d, c)} THEN 1 ELSE 0 END" for c in cols)
-    return f"WITH r AS (SELECT doc_id, CAST(floor(row_index / 30) AS BIGINT) AS page, CASE WHEN ({empty}) * 2 > {len(cols)} THEN 1 ELSE 0 END AS poor FROM bom_src) SELECT doc_id, page, sum(poor) AS poor_rows, sum(poor) * 2 > count(*) AS anomalous FROM r GROUP BY doc_id, page"

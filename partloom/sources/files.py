@@ -21,8 +21,8 @@ from ..session import ship
 
 CELLS = "path string, sheet string, sheet_ord int, row int, col int, value string, kind string, error string"
 # Keywords of header rows and of sheets with part lists.
-HEADER_KEYWORDS = ("pos", "benennung", "bezeichnung", "description", "menge", "anzahl", "qty", "werkstoff", "material", "teil", "part", "stück")
-SHEET_KEYWORDS = ("stückliste", "bom", "parts", "liste")
+HEADER_KEYWORDS = ("pos", "position", "benennung", "bezeichnung", "description", "stk", "stück", "menge", "qty", "werkstoff", "material", "zeichn")
+SHEET_KEYWORDS = ("stückliste", "stueckliste", "bom", "parts")
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import drop, materialize, small_batches
@@ -27,7 +27,13 @@ RUN = 6
 MIN_PREFIX = 6
 #: A run that occurs more often is dealt out over SALTS groups, whose firsts meet once more.
 HOT, SALTS = 500, 32
-_LAST = (1 << 63) - 1
+
+
+def _order(doc_id: Column) -> Column:
+    """Place of a document: its doc_id; without one, after all others (below 2**62), by a hash of its text."""
+    return F.coalesce(doc_id.cast("bigint"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)))
+
+
 
 
 def _window_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -67,12 +73,12 @@ def _labels(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Marks (d, pos) of windows that also start earlier, and copies (d, th) of earlier texts.
 
-    ``d`` is the doc_id, with null as the largest; rows of one doc_id and text are one
+    ``d`` is the place of a document (:func:`_order`); rows of one doc_id and text are one
     document, and a later text that is equal to an earlier one is a copy as a whole.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    d = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th"), F.xxhash64(F.lit(7), F.col("text")).alias("th2"), "text")
+    d = docs.where("text is not null").select(_order(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), F.xxhash64(F.lit(7), F.col("text")).alias("th2"), "text")
     ids = d.select("d", "th", "th2")
     firsts = ids.groupBy("th", "th2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
     copies = materialize(ids.join(firsts, ["th", "th2"]).where("d > first").select("d", "th").distinct())
@@ -173,7 +179,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     marks, copies = repeated_windows(docs)
     gone = marks.groupBy("d").agg(F.collect_list("pos").alias("marks"))
-    x = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th"))
+    x = docs.select("doc_id", "text", _order(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"))
     x = x.join(copies.withColumn("copy", F.lit(True)), ["d", "th"], "left").join(gone, "d", "left").select("doc_id", "text", "marks", "copy")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

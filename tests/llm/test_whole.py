@@ -5,7 +5,8 @@ from itertools import combinations
 
 import pytest
 
-from partloom.llm import decontam, html, linedup
+import corpus_pipeline
+from partloom.llm import decontam, html, linedup, substr
 
 
 # 1 HTML
@@ -116,3 +117,28 @@ def test_items_are_found_with_a_fifth_of_their_words_changed(n):
         assert [x[0] for x in index.overlaps(" ".join(text))] == [k]
         far = {*wrong, *[i for i in range(n) if i % 2]}
         assert index.overlaps(" ".join(f"z{i}" if i in far else x for i, x in enumerate(w))) == []
+
+
+# 5 substrings, pipeline
+
+
+def test_documents_without_an_id_are_apart(spark):
+    tail = " ".join(f"t{i}" for i in range(30))
+    rows = [(1, "a " * 3 + tail), (None, " ".join(f"n{i}" for i in range(40)) + " " + tail), (None, " ".join(f"m{i}" for i in range(90)))]
+    got = {r.n_words: sum(x.end - x.start for x in r.spans) for r in substr.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {33: 0, 70: 30, 90: 0}
+
+
+def test_stages_decide_rows_without_an_id(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, f"x {item} y"), (None, "clean text of one row"), (7, f"z {item}"), (7, "another clean text"), (3, base), (None, base + " end"), (3, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clean = lambda df: sorted((str(r.doc_id), str(r.text)[:20]) for r in df.collect())
+    assert clean(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == sorted((str(i), str(t)[:20]) for i, t in rows if not t or item not in t)
+    got = clean(corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)))
+    # Near copies: the row with " end" of that with doc_id 3, and the first row of "z ..." with doc_id 7.
+    assert got == sorted({(str(i), str(t)[:20]) for i, t in rows if t not in (base + " end", f"x {item} y")})
+    empty = docs.limit(0)
+    assert corpus_pipeline.near_duplicates(spark, empty, str(tmp_path)).count() == corpus_pipeline.decontamination(spark, empty, str(tmp_path)).count() == 0

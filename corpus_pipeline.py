@@ -7,7 +7,7 @@ stage's own input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.llm import decontam, langid, linedup, mixing, ngramjoin
@@ -20,13 +20,14 @@ MIN_LANGUAGE_SCORE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those whose n-grams belong to no learned language."""
+    """Rejects documents without a letter, null texts too, and those whose n-grams belong to no learned language;
+    an empty table stays empty."""
     out = langid.identify_by_own_labels(docs)
     return out.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines; documents that had lines and lose all of them go. n_chars follows the text."""
+    """Removes repeated lines; documents that had lines and lose all of them go. n_chars follows the text; null texts stay."""
     out = linedup.dedup_lines(docs)
     emptied = F.coalesce((F.col("n_lines") > 0) & (F.trim(F.regexp_replace("text", r"\s+", "")) == ""), F.lit(False))
     changed = F.col("n_kept") < F.col("n_lines")
@@ -34,20 +35,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(~(emptied & changed)).withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
+def _key() -> Column:
+    """What a document is to the decisions: its doc_id and its text, so that rows without a doc_id, or that share
+    one and differ in text, are decided apart. The smallest doc_id sorts first, none last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of similar ones, that of the smallest doc_id."""
-    classes = ngramjoin.similar_documents(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    """Keeps one document of each group of similar ones, that of the smallest doc_id (none last, then by a hash of the
+    text). Rows that repeat are one document; null texts resemble nothing; an empty table stays empty."""
+    classes = ngramjoin.similar_documents(docs.select(_key().alias("doc_id"), "text"))
+    gone = materialize(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_key")).distinct())
+    kept = docs.join(gone, _key() == F.col("gone_key"), "left_anti")
     # Rows that repeat have one doc_id and one text; rows of one doc_id and other texts are other documents.
     return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a passage of a benchmark item."""
+    """Removes documents that hold a passage of a benchmark item, and no other row that shares their doc_id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = materialize(decontam.find_contamination(docs, benchmark).select("doc_id").distinct())
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    hit = decontam.find_contamination(docs.select(_key().alias("doc_id"), "text"), benchmark)
+    hit = materialize(hit.select(F.col("doc_id").alias("hit_key")).distinct())
+    return docs.join(hit, _key() == F.col("hit_key"), "left_anti").select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,6 +114,15 @@ class Forest:
             yield out
 
 
+def best_of(s: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of the ``keep`` largest of each row, in no order; of equal ones at the cut, those of the smallest columns."""
+    at = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+    cut = np.take_along_axis(s, at, 1).min(1)
+    for i in np.flatnonzero((s >= cut[:, None]).sum(1) > keep):
+        at[i] = np.argsort(-s[i], kind="stable")[:keep]
+    return at
+
+
 def _matrix(col: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.float64).reshape(-1, dim)
 
@@ -202,7 +211,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
         for lo in range(0, len(q), 1024):
             s = _matrix(q.q[lo : lo + 1024], dim) @ x.T
             keep = min(k + 1, len(vid))
-            at = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+            at = best_of(s, keep)
             ids += [r.tobytes() for r in vid[at]]
             scores += [r.tobytes() for r in np.take_along_axis(s, at, 1)]
         return pd.DataFrame({"qid": q.qid.to_numpy(), "vids": ids, "scores": scores})

@@ -3,10 +3,11 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from partloom.llm import decontam, html, linedup, substr
+from partloom.llm import ann, decontam, html, linedup, substr
 
 
 # 1 HTML
@@ -142,3 +143,23 @@ def test_stages_decide_rows_without_an_id(spark, tmp_path):
     assert got == sorted({(str(i), str(t)[:20]) for i, t in rows if t not in (base + " end", f"x {item} y")})
     empty = docs.limit(0)
     assert corpus_pipeline.near_duplicates(spark, empty, str(tmp_path)).count() == corpus_pipeline.decontamination(spark, empty, str(tmp_path)).count() == 0
+
+
+# 6 neighbours
+
+
+def test_ties_at_the_cut_go_to_the_smallest():
+    rng = np.random.default_rng(2)
+    s = rng.integers(0, 6, (200, 300)).astype(float)
+    s[0] = 1.0
+    for k in (1, 20, 300):
+        got = ann.best_of(s, k)
+        for row, at in zip(s, got, strict=True):
+            assert set(at.tolist()) == set(sorted(range(300), key=lambda j: (-row[j], j))[:k])
+
+
+def test_search_with_equal_vectors_and_extra_columns(spark):
+    rows = [(i, [1.0, float(i % 2)], "x") for i in range(60)] + [(None, [1.0, 0.0], "y"), (70, None, "z"), (71, [0.0, 0.0], "z"), (72, [float("nan"), 1.0], "z")]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, ids string")
+    got = ann.search(v, v.where("vec_id = 1"), k=3).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(1, 1, 3, 2.0), (1, 2, 5, 2.0), (1, 3, 7, 2.0)]

@@ -12,6 +12,7 @@ from partloom.session import get_session
 HEADLINE = (
     "cells_by_method",
     "transformed_cells",
+    "pivot_to_target",
     "compare_values",
     "reconcile_positions",
     "reconcile_multiset",

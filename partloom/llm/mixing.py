@@ -37,6 +37,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
         if s.where(now_full).count() == row.n:
             break
         full = now_full
+    else:
+        raise RuntimeError(f"targets did not settle in {max_rounds} rounds")
     return s.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.lit(level) * F.col("w")).alias("target"))
 
 

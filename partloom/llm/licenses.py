@@ -8,15 +8,18 @@ priority (or of the same priority and greater length) is suppressed.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._util import small_batches
+from .license_signatures import SIGNATURES
 
 #: Fixed phrases of the contract and their labels.
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -116,8 +119,8 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """The rule set in order of priority, then of the lists above: some 300 rules."""
-    rules = [Rule(*x) for x in SINGLE_RULES]
+    """The rule set in order of priority, then of the lists: the hand-written signatures, then those of families and wordings."""
+    rules = [Rule(*x) for x in SINGLE_RULES] + [Rule(*x[:4], (x[4],), x[5]) for x in SIGNATURES]
     for label, name, keywords, versions in FAMILIES:
         for kind, priority, weight, pattern in WORDINGS:
             if "{v}" not in pattern:
@@ -129,13 +132,18 @@ def default_rules() -> list[Rule]:
 
 
 @lru_cache(maxsize=4)
-def _compiled(rules: tuple[Rule, ...]) -> tuple[list[tuple[Rule, re.Pattern]], list[tuple[str, list[int]]]]:
+def _compiled(rules: tuple[Rule, ...]) -> tuple[list[tuple[Rule, re.Pattern]], ahocorasick.Automaton]:
+    """The patterns, and an automaton that finds keywords, each with the places of its rules."""
     compiled = [(r, re.compile(f"(?<= )(?:{r.pattern})(?= )")) for r in rules]
     by_word: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
         for k in r.keywords:
             by_word.setdefault(k, []).append(i)
-    return compiled, list(by_word.items())
+    keywords = ahocorasick.Automaton()
+    for k, ids in by_word.items():
+        keywords.add_word(k, tuple(ids))
+    keywords.make_automaton()
+    return compiled, keywords
 
 
 def scan_text(text: str | None, rules: tuple[Rule, ...], phrases: dict[str, str]) -> tuple[int, list[tuple[str, int, int]], list[tuple[str, str, int, int, int, float]]]:
@@ -150,8 +158,8 @@ def scan_text(text: str | None, rules: tuple[Rule, ...], phrases: dict[str, str]
             n, seen = n + joined.count(" ", seen, at), at
             base.append((label, n, n + phrase.count(" ") + 1))
             at = joined.find(f" {phrase} ", at + 1)
-    compiled, by_word = _compiled(rules)
-    for i in sorted({i for k, ids in by_word if k in joined for i in ids}):
+    compiled, keywords = _compiled(rules)
+    for i in sorted({i for ids in {ids for _, ids in keywords.iter(joined)} for i in ids}):
         rule, pattern = compiled[i]
         n = seen = 0
         for m in pattern.finditer(joined):
@@ -165,8 +173,6 @@ def resolve(found: list[tuple[str, str, int, int, int, float]]) -> list[tuple[st
     greater length; of equal ones the first in order of rules stays. Sorted by start."""
     spans: list[tuple[int, int]] = []  # of survivors: nested in none of each other, so both ends rise
     out = []
-    import bisect
-
     for d in sorted(found, key=lambda d: (-d[4], d[2] - d[3], d[2])):
         i = bisect.bisect_right(spans, (d[2], 1 << 60)) - 1
         if i >= 0 and spans[i][1] >= d[3]:

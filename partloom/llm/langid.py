@@ -24,10 +24,11 @@ from ._util import materialize, small_batches
 N = 4
 #: Labelled documents per language that the filters are fitted on at most (the documented bound of the sample).
 SAMPLE_PER_LANG = 400
-#: n-grams kept per language at most, and the share of the highest rate that another language needs to hold an n-gram too.
-PROFILE, SHARE = 8192, 0.25
-#: Slots (a power of two) and hashes per n-gram.
-SLOT_BITS, HASHES = 18, 2
+#: A language holds an n-gram if its rate is at least this share of the highest rate in any language.
+SHARE = 0.25
+#: Hashes per n-gram, slots per n-gram of the largest language at least, and the bounds of the slots as powers of two;
+#: beyond the upper one, filters fill up more, which the correction takes off.
+HASHES, SLOTS_PER_GRAM, SLOT_BITS = 2, 8, (12, 21)
 
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -65,14 +66,14 @@ def ngram_hashes(text: str | None) -> np.ndarray | None:
     return h
 
 
-def _slots(h: np.ndarray, i: int) -> np.ndarray:
-    return (h * _MUL[i % 2] + np.uint64(i)) >> np.uint64(64 - SLOT_BITS)
+def _slots(h: np.ndarray, i: int, bits: int) -> np.ndarray:
+    return (h * _MUL[i % 2] + np.uint64(i)) >> np.uint64(64 - bits)
 
 
 @dataclass
 class LanguageModel:
     langs: list[str]
-    slots: np.ndarray  # (words, slots) of uint64: a bit per language
+    slots: np.ndarray  # (words, slots) of uint64: a bit per language; a power of two of slots
     false_rate: np.ndarray
     default: int
 
@@ -81,7 +82,8 @@ class LanguageModel:
         if h is None or not self.langs:
             return "und", 0.0
         counts = np.zeros(len(self.langs))
-        at = [_slots(h, i) for i in range(HASHES)]
+        bits = self.slots.shape[1].bit_length() - 1
+        at = [_slots(h, i, bits) for i in range(HASHES)]
         for w, words in enumerate(self.slots):
             mask = words[at[0]]
             for a in at[1:]:
@@ -93,16 +95,17 @@ class LanguageModel:
         return self.langs[best if share[best] > 0 else self.default], float(share[best])
 
 
-def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, profile: int = PROFILE) -> LanguageModel:
+def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """Fits the filters on (doc_id, text, lang); nulls take no part, repeated rows count each.
 
     The sample holds up to ``sample_per_lang`` whole texts of each language, those with
-    the smallest hashes; the n-grams are counted on the executors, and ``profile`` of
-    each language come to the driver.
+    the smallest hashes; the n-grams are counted, and set in slots, on the executors. All
+    n-grams of a language in the sample count, and the slots follow their number; only
+    the words of slots that are set come to the driver, within ``SLOT_BITS``.
     """
     spark = labelled.sparkSession
     small_batches(spark)
-    rows = labelled.where("text is not null and lang is not null")
+    rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     counts = rows.groupBy("lang").count()
     h = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     picked = rows.withColumn("h", h).join(F.broadcast(counts) if counts.count() < 10_000 else counts, "lang").where(F.col("h") * F.col("count") < 1.5 * sample_per_lang + 20)
@@ -129,18 +132,25 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, profile:
     totals = {r.lang: r.n for r in seen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return LanguageModel([], np.zeros((1, 1), np.uint64), np.zeros(0), 0)
-    rate = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for kv in totals.items() for x in kv]), F.col("lang"))
-    top = seen.withColumn("rate", rate).withColumn("most", F.max("rate").over(Window.partitionBy("g"))).where((F.col("rate") >= SHARE * F.col("most")) & (F.col("n") > 1))
-    top = top.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).where(F.col("k") <= profile).select("lang", "g").toPandas()
     langs = sorted(totals)
-    slots = np.zeros(((len(langs) + 63) // 64, 1 << SLOT_BITS), np.uint64)
-    rates = []
-    for i, lang in enumerate(langs):
-        g = top.g[top.lang == lang].to_numpy(np.int64).view(np.uint64)
-        bit = np.uint64(1 << (i % 64))
-        for k in range(HASHES):
-            np.bitwise_or.at(slots[i // 64], _slots(g, k), bit)
-        rates.append((np.count_nonzero(slots[i // 64] & bit) / (1 << SLOT_BITS)) ** HASHES)
+    known = spark.createDataFrame([(x, i, totals[x]) for i, x in enumerate(langs)], "lang string, place int, total bigint")
+    rated = seen.join(known, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    held = rated.withColumn("most", F.max("rate").over(Window.partitionBy("g"))).where(F.col("rate") >= SHARE * F.col("most")).select("place", "g")
+    held = materialize(held)
+    largest = held.groupBy("place").count().agg(F.max("count")).first()[0]
+    bits = min(SLOT_BITS[1], max(SLOT_BITS[0], (largest * SLOTS_PER_GRAM - 1).bit_length()))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, g = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            at = np.concatenate([_slots(g, k, bits) for k in range(HASHES)]).astype(np.int64)
+            mask = np.tile(np.uint64(1) << (lang % 64).astype(np.uint64), HASHES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(lang // 64, HASHES).astype(np.int32)), pa.array(at), pa.array(mask.view(np.int64))], names=["word", "slot", "mask"])
+
+    filled = held.mapInArrow(place, "word int, slot bigint, mask bigint").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    slots = np.zeros(((len(langs) + 63) // 64, 1 << bits), np.uint64)
+    slots[filled.word.to_numpy(np.int64), filled.slot.to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+    rates = [(np.count_nonzero(slots[i // 64] & np.uint64(1 << (i % 64))) / (1 << bits)) ** HASHES for i in range(len(langs))]
     return LanguageModel(langs, slots, np.array(rates), max(range(len(langs)), key=lambda i: (totals[langs[i]], -i)))
 
 

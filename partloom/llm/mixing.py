@@ -15,31 +15,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = MAX_EPOCHS, max_rounds: int = 200) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) from (source, source_size): one row per source.
 
     Sources in order of their code points, null last, weigh ``weights``, repeating.
-    Each gets min(max_epochs * size, level * weight), where the level is raised until
-    the targets sum up to all sizes. Every round is one aggregate over the sources.
+    Each gets min(max_epochs * size, level * weight), at the level where the targets sum
+    up to all sizes. In order of max_epochs * size / weight, those that stop come first;
+    the level is that of the first that does not, over what the ones before it leave.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     w = F.element_at(F.lit(list(weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     s = materialize(sizes.withColumn("w", w.cast("double")).withColumn("cap", F.col("source_size").cast("double") * max_epochs))
+    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source"))
+    before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum("w").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     total = s.agg(F.sum("source_size")).first()[0] or 0
-    level = float("inf")
-    full = F.lit(False)
-    for _ in range(max_rounds):
-        row = s.agg(F.sum(F.when(full, F.col("cap"))).alias("capped"), F.sum(F.when(~full, F.col("w"))).alias("w"), F.count(F.when(full, 1)).alias("n")).first()
-        if not row.w:
-            break
-        level = (total - (row.capped or 0.0)) / row.w
-        now_full = full | (F.lit(level) * F.col("w") > F.col("cap"))
-        if s.where(now_full).count() == row.n:
-            break
-        full = now_full
-    else:
-        raise RuntimeError(f"targets did not settle in {max_rounds} rounds")
-    return s.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.lit(level) * F.col("w")).alias("target"))
+    levels = s.select("cap", "w", F.row_number().over(by).alias("place"), ((F.lit(float(total)) - before) / left).alias("level"))
+    level = levels.where("level * w <= cap").agg(F.min_by("level", "place")).first()[0]
+    level = float("inf") if level is None else level
+    return s.select("source", "source_size", F.least(F.lit(level) * F.col("w"), F.col("cap")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, quality: DataFrame | None = None, seed: int = 17, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = MAX_EPOCHS, buckets: int = 4096) -> DataFrame:

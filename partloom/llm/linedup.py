@@ -14,7 +14,7 @@ distinct line, and each band, once, however often they stand in it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ._pairs import linked_pairs
 from ._util import connected_components, drop, materialize, small_batches
 from ._words import mixed
-from .ngramjoin import linked_pairs
 
 #: Characters of a shingle (a power of two) and the least similarity of a link.
 SHINGLE, THRESHOLD = 8, 0.8
@@ -35,6 +35,8 @@ BANDS, ROWS = 10, 3
 BLOCK_LINES, BLOCK_CHARS = 1024, 1_000_000
 #: Bytes of text whose lines share a bucket, and the number of buckets at most.
 BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 1 << 18
+#: Lines that a copy of their hub's text serves on average.
+HUB_LINES = 1024
 #: Lines of a chunk, which a task combines before it sends them.
 CHUNK_LINES = 200_000
 #: Characters hashed at once.
@@ -254,7 +256,7 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _compare_with_hub(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _compare_with_hub(batches: Iterator[pa.RecordBatch], threshold: float, set_of: Callable[[str], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Those of the pairs (a, b, la, lb) at or over the threshold."""
     sets: dict[int, np.ndarray] = {}
     held = 0
@@ -269,7 +271,7 @@ def _compare_with_hub(batches: Iterator[pa.RecordBatch], threshold: float) -> It
                     if held > 2_000_000:
                         sets.clear()
                         held = 0
-                    sets[k] = shingle_set(texts[side][i].as_py())
+                    sets[k] = set_of(texts[side][i].as_py())
                     held += len(sets[k])
                 pair.append(sets[k])
             if is_linked(*pair, threshold):
@@ -277,18 +279,18 @@ def _compare_with_hub(batches: Iterator[pa.RecordBatch], threshold: float) -> It
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
 
-def _compare_units(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _compare_units(batches: Iterator[pa.RecordBatch], threshold: float, set_of: Callable[[str], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) between components from units (i, j, lines): lines in one band and of different components
     are compared, unless links of the unit join their components already. A unit gives a spanning
     forest of what it finds, so at most one row a line."""
     for batch in batches:
         links: list[tuple[int, int]] = []
         for i, j, xs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            links += _unit_links(i, j, xs.as_py(), threshold)
+            links += _unit_links(i, j, xs.as_py(), threshold, set_of)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
-def _unit_links(i: int, j: int, xs: list[dict], threshold: float) -> list[tuple[int, int]]:
+def _unit_links(i: int, j: int, xs: list[dict], threshold: float, set_of: Callable[[str], np.ndarray]) -> list[tuple[int, int]]:
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -306,7 +308,7 @@ def _unit_links(i: int, j: int, xs: list[dict], threshold: float) -> list[tuple[
             links.append((comp[p], comp[q]))
 
     comp = [x["component"] for x in xs]
-    sets = [shingle_set(x["line"]) for x in xs]
+    sets = [set_of(x["line"]) for x in xs]
     bands: dict[int, list[tuple[int, int]]] = {}
     for k, x in enumerate(xs):
         for t in x["tags"]:
@@ -328,25 +330,34 @@ def _unit_links(i: int, j: int, xs: list[dict], threshold: float) -> list[tuple[
     return links
 
 
-def similar_components(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _shingle_sets() -> Callable[[str], np.ndarray]:
+    return shingle_set
+
+
+def similar_components(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, make: Callable[[], Callable[[str], np.ndarray]] = _shingle_sets) -> DataFrame:
     """(lid, component) of the lines that links join, from ``members`` (band, hub, lid) and ``texts`` (lid, line).
 
-    Every line is compared with the hub that it shares most bands with; then all pairs of a
+    ``make`` gives each task the function from a text to its sorted set of hashes. Every line is compared with the hub that it shares most bands with; then all pairs of a
     band that lie in different components are, so that no link between lines of a band is left out.
     """
     shared = members.where("lid <> hub").groupBy("lid", "hub").agg(F.count("*").alias("k"))
     tried = shared.groupBy(F.col("lid").alias("b")).agg(F.max(F.struct("k", "hub")).alias("x")).select(F.col("x.hub").alias("a"), "b")
-    pairs = tried.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b").join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
-    links = materialize(pairs.select("a", "b", "la", "lb").mapInArrow(lambda bs: _compare_with_hub(bs, threshold), "a bigint, b bigint"))
+    tried = materialize(tried)
+    # A hub of very many lines is copied, so that they do not meet in one task.
+    copies = tried.groupBy("a").agg(F.ceil(F.count("*") / HUB_LINES).cast("int").alias("copies"))
+    hubs = copies.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    tried = tried.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"))
+    pairs = tried.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b").join(hubs.drop("copies"), ["a", "copy"])
+    links = materialize(pairs.select("a", "b", "la", "lb").mapInArrow(lambda bs: _compare_with_hub(bs, threshold, make()), "a bigint, b bigint"))
     comps = connected_components(links, "a", "b").withColumnRenamed("node", "lid")
-    more = materialize(_across(members, comps, texts, threshold))
+    more = materialize(_across(members, comps, texts, threshold, make))
     if more.isEmpty():
         return comps
     joined = connected_components(comps.withColumnsRenamed({"lid": "a", "component": "b"}).union(more), "a", "b")
     return joined.withColumnRenamed("node", "lid")
 
 
-def _across(members: DataFrame, comps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _across(members: DataFrame, comps: DataFrame, texts: DataFrame, threshold: float, make: Callable[[], Callable[[str], np.ndarray]]) -> DataFrame:
     """Links (a, b) between components that have similar lines in one band.
 
     Bands of the same lines are compared once. Bands of one largest component share units, to
@@ -377,7 +388,7 @@ def _across(members: DataFrame, comps: DataFrame, texts: DataFrame, threshold: f
     rows = inside.union(between).groupBy("unit", "lid").agg(F.first("component").alias("component"), F.collect_list("tag").alias("tags"))
     rows = rows.join(texts, "lid").groupBy("unit").agg(F.collect_list(F.struct("lid", "component", "line", "tags")).alias("xs"))
     side = lambda c: F.when(F.col("unit.kind") == 0, 0).otherwise(F.col(f"unit.{c}")).alias(c)
-    return rows.select(side("i"), side("j"), "xs").mapInArrow(lambda bs: _compare_units(bs, threshold), "a bigint, b bigint").distinct()
+    return rows.select(side("i"), side("j"), "xs").mapInArrow(lambda bs: _compare_units(bs, threshold, make()), "a bigint, b bigint").distinct()
 
 
 def _fresh(df: DataFrame, *names: str) -> list[str]:

@@ -1,16 +1,17 @@
 """Documents whose sets of word 5-grams have a Jaccard similarity of 0.8 or more.
 
-Documents with equal sets form a class. Classes are banded by MinHash; classes that
-meet in a band are gathered by distributed union-find into candidate groups, and in a
-group every pair is verified on the full sets. Groups of any size are cut into blocks,
-and a task takes a pair of blocks, so no group is gathered whole and no pair is emitted:
-a block returns the number of links of each class and a spanning forest of them.
+Documents with equal sets form a class. Classes are banded by MinHash, and those that
+meet in a band are verified on the full sets, first with the band's hub, then with all
+others of the band that verified links have not joined to them. Distributed union-find
+over verified links alone makes the groups, in which every pair is then verified for
+the number of links. Groups of any size are cut into blocks, and a task takes a pair of
+blocks, so no group is gathered whole and no pair is emitted.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import connected_components, drop, materialize, small_batches
+from ._pairs import linked_pairs
+from ._util import drop, materialize, small_batches
 from ._words import WORD, WordHashes, mixed, rolling
+from .linedup import similar_components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Classes and characters of a block on average.
@@ -69,63 +72,9 @@ class MinHash:
         return out
 
 
-def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs (i in left, j in right) at or over the threshold as an array of two columns."""
-    sizes = np.array([len(s) for s in sets])
-    if len(left) * len(right) <= 36:
-        found = []
-        for i in left:
-            for j in right:
-                lo, hi = sorted((sizes[i], sizes[j]))
-                if i != j and lo >= threshold * hi:
-                    n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if n >= threshold * (lo + hi - n) - 1e-9:
-                        found.append((i, j))
-        return np.array(found, np.int64).reshape(-1, 2)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    values, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[code] > 1
-    renamed = np.cumsum(count > 1) - 1
-    owner, code = owner[shared], renamed[code[shared]]
-    n_codes = int((count > 1).sum())
-    inter = np.zeros((len(left), len(right)), np.float32)
-    at_left = np.full(len(sets), -1)
-    at_left[left] = np.arange(len(left))
-    at_right = np.full(len(sets), -1)
-    at_right[right] = np.arange(len(right))
-    order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    step = 4096
-    for lo in range(0, n_codes, step):
-        a, b = np.searchsorted(code, [lo, lo + step])
-        o, c = owner[a:b], code[a:b] - lo
-        x = np.zeros((len(left), step), np.float32)
-        y = np.zeros((len(right), step), np.float32)
-        k = at_left[o]
-        x[k[k >= 0], c[k >= 0]] = 1
-        k = at_right[o]
-        y[k[k >= 0], c[k >= 0]] = 1
-        inter += x @ y.T
-    union = sizes[left][:, None] + sizes[right][None, :] - inter
-    i, j = np.nonzero((inter >= threshold * union - 1e-6) & (left[:, None] != right[None, :]))
-    return np.stack([left[i], right[j]], 1)
-
-
-def _roots(n: int, pairs: np.ndarray) -> list[int]:
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in pairs.tolist():
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(n)]
+def _sets() -> Callable[[str], np.ndarray]:
+    cache = WordHashes()
+    return lambda text: shingles(text, cache)
 
 
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -170,11 +119,14 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     grouped = signed.where("key is not null").groupBy("key").agg(first, F.count("*").alias("n_copies"), F.max("n_chars").alias("n_chars"), F.first("bands").alias("bands"))
     classes = materialize(grouped.select("key", "first.doc_id", "first.th", "n_copies", "n_chars", "bands", F.monotonically_increasing_id().alias("cid")))
     banded = classes.select("cid", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    meet = banded.join(hubs.hint("shuffle_hash"), "band").where("cid <> hub").select("hub", "cid")
-    groups = materialize(connected_components(meet, "hub", "cid").withColumnRenamed("node", "cid"), clean=True)
-    links, forest = _verify(docs, classes, groups, threshold)
-    joined = connected_components(forest, "cid", "root").withColumnRenamed("node", "cid").withColumnRenamed("component", "comp")
+    # A band's hub is the class of most copies, as an original has more than its variants.
+    hubs = classes.select("cid", "n_copies", F.explode("bands").alias("band")).groupBy("band").agg(F.max(F.struct("n_copies", "cid"))["cid"].alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = materialize(banded.join(hubs.hint("shuffle_hash"), "band").select("band", "hub", F.col("cid").alias("lid")), clean=True)
+    texts = materialize(_texts(docs, classes.join(members.select(F.col("lid").alias("cid")).distinct(), "cid", "left_semi")))
+    groups = similar_components(members, texts, threshold, _sets).withColumnRenamed("lid", "cid")
+    drop(members)
+    links = _verify(texts, classes, groups, threshold)
+    joined = groups.withColumnRenamed("component", "comp")
     c = classes.select("cid", "key", "doc_id", "n_copies").join(joined, "cid", "left").join(links, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     comps = c.where("comp <> cid or n_links is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     c = c.join(comps, "comp", "left").select("key", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), "n_copies")
@@ -182,20 +134,27 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
-def _verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(cid, n_links) of classes with links, counting the copies of the others, and (cid, root) that join them."""
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(lid, line): the text of each of the classes."""
+    wanted = classes.select(F.col("cid").alias("lid"), F.col("doc_id").alias("d"), "th")
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.col("text").alias("line"))
+    # Repeated rows of one document give a text each.
+    return texts.join(wanted.hint("shuffle_hash"), (F.col("th") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("lid", "line").dropDuplicates(["lid"])
+
+
+def _verify(texts: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(cid, n_links) of the classes in ``groups`` (cid, component), counting the copies of the others."""
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks")
-    member = groups.join(classes.select("cid", "key", "doc_id", "th", "n_copies", "n_chars"), "cid")
+    member = groups.join(classes.select("cid", "n_copies", "n_chars"), "cid")
     sizes = member.groupBy("component").agg(blocks)
     member = member.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    texts = docs.where("text is not null").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
-    rows = member.join(texts, (F.col("th") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("component", "cid", "key", "n_copies", "block", "blocks", "text")
+    rows = member.join(texts.select(F.col("lid").alias("cid"), F.col("line").alias("text")), "cid")
     i, j = F.least("block", "other"), F.greatest("block", "other")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": i, "j": j})
     rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "cid")
-    rows = rows.select("component", "i", "j", "cid", "key", "n_copies", "block", "text")
+    rows = rows.select("component", "i", "j", "cid", "n_copies", "block", "text")
 
-    def check(key: tuple, group: dict[int, tuple]) -> list[tuple[int, int, int]]:
+    def check(key: tuple, group: dict[int, tuple]) -> list[tuple[int, int]]:
         ids = sorted(group)
         sets = [group[c][0] for c in ids]
         copies = np.array([group[c][1] for c in ids])
@@ -207,8 +166,7 @@ def _verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: f
         n = np.bincount(pairs[:, 0], copies[pairs[:, 1]], len(ids))
         if key[1] != key[2]:
             n += np.bincount(pairs[:, 1], copies[pairs[:, 0]], len(ids))
-        roots = _roots(len(ids), pairs)
-        return [(ids[k], int(n[k]), ids[roots[k]]) for k in np.flatnonzero(n)]
+        return [(ids[k], int(n[k])) for k in np.flatnonzero(n)]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -217,20 +175,16 @@ def _verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: f
         def batch() -> pa.RecordBatch:
             rows = out[:]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["cid", "n_links", "root"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], names=["cid", "n_links"])
 
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(7)]
-            for r, (comp, i, j, cid, digest, copies, block) in enumerate(zip(*cols, strict=True)):
+            cols = [b.column(k).to_pylist() for k in range(6)]
+            for r, (comp, i, j, cid, copies, block) in enumerate(zip(*cols, strict=True)):
                 if (comp, i, j) != key:
                     if key and len(group) > 1:
                         out += check(key, group)
                     key, group = (comp, i, j), {}
-                if cid in group:
-                    continue
-                s = shingles(b.column(7)[r].as_py(), cache)
-                if xxhash.xxh3_128_digest(s.tobytes()) == digest:  # else another row of the same doc_id
-                    group[cid] = (s, copies, block)
+                group[cid] = (shingles(b.column(6)[r].as_py(), cache), copies, block)
             if out:
                 yield batch()
         if key and len(group) > 1:
@@ -238,6 +192,5 @@ def _verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: f
         if out:
             yield batch()
 
-    checked = materialize(rows.mapInArrow(verify, "cid bigint, n_links bigint, root bigint"), clean=True)
-    drop(groups)
-    return checked.groupBy("cid").agg(F.sum("n_links").alias("n_links")), checked.where("cid <> root").select("cid", "root")
+    checked = materialize(rows.mapInArrow(verify, "cid bigint, n_links bigint"), clean=True)
+    return checked.groupBy("cid").agg(F.sum("n_links").alias("n_links"))

@@ -1,13 +1,14 @@
 """Cases of the review: what the operators once did less than whole."""
 
 import random
+import re
 from itertools import combinations
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from partloom.llm import ann, decontam, html, linedup, substr
+from partloom.llm import ann, decontam, html, licenses, linedup, mixing, ngramjoin, substr
 
 
 # 1 HTML
@@ -163,3 +164,105 @@ def test_search_with_equal_vectors_and_extra_columns(spark):
     v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, ids string")
     got = ann.search(v, v.where("vec_id = 1"), k=3).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(1, 1, 3, 2.0), (1, 2, 5, 2.0), (1, 3, 7, 2.0)]
+
+
+# 10 licences: keywords, edges
+
+
+def sampled(parsed, rng) -> str:
+    """A text that the parsed pattern matches."""
+    out = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name in ("ANY", "NOT_LITERAL"):
+            out.append("z")
+        elif name == "IN":
+            kind, x = rng.choice([a for a in arg if str(a[0]) in ("LITERAL", "RANGE")] or [("LITERAL", 122)])
+            out.append(chr(x if isinstance(x, int) else rng.randint(*x)))
+        elif name == "MAX_REPEAT":
+            lo, hi, inner = arg
+            out += [sampled(inner, rng) for _ in range(rng.randint(lo, min(int(hi), lo + 2)))]
+        elif name == "SUBPATTERN":
+            out.append(sampled(arg[3], rng))
+        elif name == "BRANCH":
+            out.append(sampled(rng.choice(arg[1]), rng))
+        else:
+            raise ValueError(name)
+    return "".join(out)
+
+
+def test_every_match_holds_a_keyword_of_its_rule():
+    rng = random.Random(3)
+    for rule in licenses.default_rules():
+        parsed = re._parser.parse(rule.pattern)
+        for _ in range(12):
+            text = sampled(parsed, rng)
+            assert re.fullmatch(rule.pattern, text), rule
+            assert any(k in f" {text} " for k in rule.keywords), (rule.name, text)
+
+
+def test_rules_have_one_name_each_and_most_are_found_by_their_own_text():
+    rules = licenses.default_rules()
+    assert len({r.name for r in rules}) == len(rules) > 500
+    rng = random.Random(4)
+    for rule in rules:
+        text = sampled(re._parser.parse(rule.pattern), rng)
+        base, found = licenses.scan_text(text, tuple(rules), {})[1:]
+        assert found and max(d[4] for d in found) >= rule.priority, rule.name
+
+
+def test_licences_of_odd_rows(spark):
+    rows = [(None, "MIT License", 1), (None, "MIT License", 1), (1, None, 2), (1, "mit license " * 3, 3), (2, "\n\t", 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, found int")
+    got = licenses.scan_licenses(df).collect()
+    assert sorted((r.doc_id or -1, r.n_words, len(r.base)) for r in got) == [(-1, 2, 1), (-1, 2, 1), (1, 0, 0), (1, 6, 3), (2, 0, 0)]
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+# 9 mixing
+
+
+def test_targets_against_rounds(spark):
+    """The level in one pass against raising it round by round, with very uneven, empty and nameless sources."""
+    rng = random.Random(5)
+    for _ in range(4):
+        sizes = {f"s{i:02}": rng.choice([0, 1, 7, 100, 10_000]) for i in range(rng.randint(1, 12))} | {None: 50}
+        names = sorted(sizes, key=lambda x: (x is None, x or ""))
+        w = {x: float(i % 3 + 1) for i, x in enumerate(names)}
+        full: set = set()
+        while True:
+            open_w = sum(w[x] for x in names if x not in full)
+            level = (sum(sizes.values()) - sum(3 * sizes[x] for x in full)) / open_w if open_w else float("inf")
+            more = {x for x in names if x not in full and level * w[x] > 3 * sizes[x]}
+            if not more:
+                break
+            full |= more
+        want = {x: 3.0 * sizes[x] if x in full else level * w[x] for x in names}
+        got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()}
+        assert got == pytest.approx(want)
+
+
+# 7 n-gram join
+
+
+def test_weak_chains_make_no_group(spark, monkeypatch):
+    """Documents that meet in bands without a link never come into one group, and those with links do across hubs."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(120):  # neighbours in the chain share most words, its ends none
+        texts.append(" ".join(base[i:] + [f"x{j}" for j in range(i)]))
+    texts += [" ".join(rng.choices(base, k=60)) for _ in range(30)]
+    seen = []
+    verify = ngramjoin._verify
+    monkeypatch.setattr(ngramjoin, "_verify", lambda t, c, groups, th: verify(t, c, seen.append(groups.collect()) or groups, th))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngramjoin.similar_documents(df).collect()}
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    links = [{j for j in range(len(texts)) if j != i and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])} for i in range(len(texts))]
+    assert sum(n for _, n in got.values()) >= 0.97 * sum(map(len, links))
+    assert all(n <= len(links[i]) for i, (_, n) in got.items())
+    linked = {r.cid for r in seen[0]}
+    assert len(linked) == sum(n > 0 for _, n in got.values())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html, langid, licenses, linedup, mixing, ngramjoin, substr, urlfilter
+from . import ann, decontam, html, langid, licenses, linedup, mixing, ngramjoin, oracles, substr, urlfilter
 from ._util import table
 
 
@@ -84,7 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | {
     "op8_url_filter": r"""
         WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
         r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM u),

@@ -34,7 +34,7 @@ BANDS, ROWS = 10, 3
 #: Lines and characters of a block of a band on average, when all its pairs are compared.
 BLOCK_LINES, BLOCK_CHARS = 1024, 1_000_000
 #: Bytes of text whose lines share a bucket, and the number of buckets at most.
-BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 1 << 18
+BUCKET_BYTES, MAX_BUCKETS = 8 << 20, 1 << 24
 #: Lines that a copy of their hub's text serves on average.
 HUB_LINES = 1024
 #: Lines of a chunk, which a task combines before it sends them.
@@ -433,7 +433,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept whatever their names; whole texts and whole lines of any length are read; an empty table stays empty.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size="8m")  # texts are copied several times on their way through Python
     docs = docs.drop("n_lines", "n_kept")
     d, th = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th")
     own = docs.where("text is not null").select(d, th, "text")

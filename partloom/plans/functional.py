@@ -26,13 +26,11 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.col("row_index") % ROWS_PER_PAGE
     y = 50.0 + 20.0 * row
     page = F.floor(F.col("row_index") / ROWS_PER_PAGE).cast("int")
-    cells = F.array(*[F.struct(F.lit(c).alias("centre"), F.col(k).alias("text")) for k, (_, c) in CENTRES.items()])
-    data = wide.select("doc_id", page.alias("page"), y.alias("y"), F.explode(cells).alias("c")).where("trim(c.text) <> ''")
-    data = data.select("doc_id", "page", (F.col("c.centre") - 20.0).alias("x0"), F.col("y").alias("y0"), (F.col("c.centre") + 20.0).alias("x1"), (F.col("y") + 8.0).alias("y1"), F.col("c.text").alias("text"))
-    heads = F.array(*[F.struct(F.lit(c).alias("centre"), F.lit(n).alias("text")) for n, c in CENTRES.values()])
-    head = wide.select("doc_id", page.alias("page")).distinct().select("doc_id", "page", F.explode(heads).alias("c"))
-    head = head.select("doc_id", "page", (F.col("c.centre") - 20.0).alias("x0"), F.lit(20.0).alias("y0"), (F.col("c.centre") + 20.0).alias("x1"), F.lit(28.0).alias("y1"), F.col("c.text").alias("text"))
-    return data.unionByName(head).withColumn("page_height", F.lit(842.0))
+    cells = F.array(*[F.struct(F.lit(c).alias("centre"), y.alias("y"), F.col(k).alias("text")) for k, (_, c) in CENTRES.items()])
+    # Rows are numbered without gaps, so that a page's header goes with its first row.
+    heads = F.array(*[F.struct(F.lit(c).alias("centre"), F.lit(20.0).alias("y"), F.lit(n).alias("text")) for n, c in CENTRES.values()])
+    data = wide.select("doc_id", page.alias("page"), F.explode(F.when(row == 0, F.concat(heads, cells)).otherwise(cells)).alias("c")).where("trim(c.text) <> ''")
+    return data.select("doc_id", "page", (F.col("c.centre") - 20.0).alias("x0"), F.col("c.y").alias("y0"), (F.col("c.centre") + 20.0).alias("x1"), (F.col("c.y") + 8.0).alias("y1"), F.col("c.text").alias("text"), F.lit(842.0).alias("page_height"))
 
 
 def layout_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ def _key(cells: dict[str, str | None], anchor: str | None) -> str:
 
 def same_value(a: str | None, b: str | None) -> bool:
     """Equal without white space and case, as numbers, or in letters and digits alone."""
+    if a == b:
+        return True
     x, y = (" ".join((v or "").lower().replace("×", "x").split()) for v in (a, b))
     if x == y:
         return True
@@ -40,9 +44,10 @@ def align_rows(a: list[dict], b: list[dict], anchor: str | None) -> list[tuple[i
     """(row of a, column, value in a, value in b) where two extractions of a table disagree; rows pair up in order by their keys."""
     ka, kb = [_key(r, anchor) for r in a], [_key(r, anchor) for r in b]
     out, met = [], set()
-    for block in SequenceMatcher(None, ka, kb, autojunk=False).get_matching_blocks():
-        for k in range(block.size):
-            i, j = block.a + k, block.b + k
+    blocks = [(0, 0, len(ka))] if ka == kb else SequenceMatcher(None, ka, kb, autojunk=False).get_matching_blocks()
+    for at_a, at_b, size in blocks:
+        for k in range(size):
+            i, j = at_a + k, at_b + k
             met.add(i)
             out += [(i, c, a[i][c], b[j].get(c)) for c in a[i] if not same_value(a[i][c], b[j].get(c))]
     for i in range(len(a)):
@@ -55,14 +60,32 @@ def align_extractions(a: DataFrame, b: DataFrame, anchor: str) -> DataFrame:
     """Disagreements of two long tables (doc_id, row_index, source_column, value), document by document."""
     ship(a.sparkSession)
 
-    def rows(pdf: pd.DataFrame) -> list[dict]:
-        return [dict(zip(g.source_column, [None if pd.isna(v) else v for v in g.value], strict=True)) for _, g in pdf.sort_values(["row_index", "source_column"]).groupby("row_index")]
-
-    def one(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in align_rows(rows(x), rows(y), anchor)], columns=["doc_id", "row_index", "source_column", "a", "b"])
-
-    cast = lambda df: df.select(F.col("doc_id").cast("string"), F.col("row_index").cast("int").alias("row_index"), F.col("source_column").alias("source_column"), F.col("value").alias("value"))
-    return cast(a).groupBy("doc_id").cogroup(cast(b).groupBy("doc_id")).applyInPandas(one, FLAGS)
+    def rows(cells: pa.Array) -> list[list[dict]]:
+        """The rows of each document in order, from its list of (row_index, source_column, value)."""
+        each = list(zip(*[c.to_pylist() for c in cells.flatten().flatten()], strict=True))
+        out, at = [], 0
+        for n in cells.value_lengths().to_pylist():
+            by_row: dict[int, dict] = {}
+            for r, c, v in sorted(each[at : at + (n or 0)], key=lambda x: (x[0], x[1] is None, x[1] or "")):
+                by_row.setdefault(r, {})[c] = v
+            out.append(list(by_row.values()))
+            at += n or 0
+        return out
+
+    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, *r) for i, x, y in zip(b.column(0).to_pylist(), rows(b.column(1)), rows(b.column(2)), strict=True) for r in align_rows(x, y, anchor)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["doc_id", "row_index", "source_column", "a", "b"])
+
+    # A document is one row a side, many to a batch. Keys of one type stay as they are, so that tables already dealt by document are not dealt again.
+    same = a.schema["doc_id"].dataType == b.schema["doc_id"].dataType
+    key = F.col("doc_id") if same else F.col("doc_id").cast("string")
+    cells = F.collect_list(F.struct(F.col("row_index").cast("int"), F.col("source_column").cast("string"), F.col("value").cast("string")))
+    side = lambda df, name: df.where("row_index is not null").groupBy(key.alias("doc_id")).agg(cells.alias(name))
+    # Documents that only the second extraction has give nothing.
+    both = side(a, "a").join(side(b, "b").withColumnRenamed("doc_id", "doc_id_b"), F.col("doc_id").eqNullSafe(F.col("doc_id_b")), "left")
+    return both.select(F.col("doc_id").cast("string").alias("doc_id"), "a", "b").mapInArrow(flags, FLAGS)
 
 
 def salvage_json(text: str | None) -> tuple[list[dict], str]:

@@ -38,3 +38,19 @@ def test_wrapped_rows_in_one_pass(spark):
         ("d", 0, "Benennung"): ("lone", "p0:b0", 0.0, 0.0), ("d", 1, "Pos"): ("1", "p0:b2", 2.0, 2.0), ("d", 1, "Benennung"): ("Platte lang breit", "p0:b2", 2.0, 9.0),
         ("d", 2, "Pos"): ("2", "p0:b10", 10.0, 10.0), ("e", 0, "Pos"): ("1", "p0:b0", 0.0, 0.0),
     }
+
+
+def test_dual_alignment_folds_many_documents_a_batch(spark, sf_dir):
+    text = plan(catalog.QUERIES["dual_alignment"](spark, sf_dir))
+    assert "FlatMapCoGroups" not in text and text.count("MapInArrow") == 1
+
+
+def test_alignment_of_documents_with_one_side(spark):
+    """A document that one extraction lacks is missing row by row; one that only the second has gives nothing."""
+    from partloom.operators import align
+
+    kind = "doc_id bigint, row_index int, source_column string, value string"
+    a = spark.createDataFrame([(1, 0, "Pos", "1"), (1, 0, "Stk", None), (2, 1, "Pos", "7"), (2, 0, "Pos", "5")], kind)
+    b = spark.createDataFrame([(2, 0, "Pos", "5"), (3, 0, "Pos", "9")], kind)
+    got = sorted(tuple(r) for r in align.align_extractions(a, b, "Pos").collect())
+    assert got == [("1", 0, "Pos", "1", "MISSING_ROW"), ("2", 1, "Pos", "7", "MISSING_ROW")]

@@ -3,6 +3,8 @@
 import io
 from contextlib import redirect_stdout
 
+import pytest
+
 from partloom import catalog
 
 
@@ -61,3 +63,36 @@ def test_plausibility_flags_read_a_name_once(spark, sf_dir):
     with redirect_stdout(out):
         catalog.QUERIES["plausibility_flags"](spark, sf_dir).explain("formatted")
     assert out.getvalue().count("regexp_replace(lower(trim(source_column") == 1
+
+
+def test_evidence_is_made_for_fields_that_can_have_a_value(spark, sf_dir):
+    for name in ("cell_scores", "worst_class_per_row"):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            catalog.QUERIES[name](spark, sf_dir).explain("formatted")
+        assert out.getvalue().count("struct(field_ord, ") == 15
+
+
+def test_white_space_without_patterns(spark):
+    """Stripping and single blanks give what the patterns give, for every kind of white space and in any mix."""
+    from partloom.functions import scalar as fn
+    from partloom.functions.dialect import SPARK
+
+    ws = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
+    texts = ["", "a", "a b", " a  b ", " a ", "Ø 12 x", None, *ws, *[f"{x}{y}a{x}b{y}{x}c{y}" for x in ws for y in ws]]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    pattern = r"regexp_replace(v, r'^\s+|\s+\z', '')", r"coalesce(nullif(trim(regexp_replace(v, r'\s+', ' ')), ''), '')", "regexp_replace(lower(coalesce(v, '')), '[^a-z0-9]', '')"
+    for r in df.selectExpr(f"{fn.strip(SPARK, 'v')} AS a", f"{fn.clean_text(SPARK, 'v')} AS b", f"{fn.alnum(SPARK, 'v')} AS c", *[f"{p} AS {n}" for p, n in zip(pattern, "xyz", strict=True)]).collect():
+        assert (r.a, r.b, r.c) == (r.x, r.y, r.z)
+
+
+@pytest.mark.parametrize("name", ["cell_scores", "worst_class_per_row", "mapped_cells", "plausibility_flags"])
+def test_same_as_duckdb(spark, sf_dir, name):
+    import duckdb
+
+    from test_queries import TABLES, plain
+
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    assert plain(catalog.QUERIES[name](spark, sf_dir).toPandas()) == plain(c.execute(catalog.ORACLE_SQL[name]).df())

@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication by MinHash over character shingles.
+"""Fuzzy line deduplication by MinHash over character shingles (DataFrame functions only).
 
 Each distinct line gets a signature of minima over its shingles of eight characters, one
 from each character. Lines that agree in a band are compared with a hub of the band by
@@ -6,254 +6,200 @@ the exact Jaccard similarity of their shingle sets, then all lines of a band tha
 lie in several components with each other, in blocks inside a row. Links are joined by
 distributed union-find, and one line of each component stays: its first occurrence.
 
-The operator was dealt in native style; that form took about twice the CPU budget (see the
-README), so lines are cut, signed and compared in Arrow batches here. Lines and bands
-meet as packed records in buckets of bounded size, one row a bucket and chunk: a chunk sends each
-distinct line, and each band, once, however often they stand in it.
+A line is cut into pieces of ``PIECE`` shingles, and the minima of a piece are written out
+inside the grouped minima of its line: compiled code without a row, or a call of an
+interpreted function, for each shingle. Only lines that meet others in a band have their sets made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ._pairs import linked_pairs
-from ._util import connected_components, drop, materialize, small_batches
+from ._util import connected_components, drop, materialize
 from ._words import mixed
 
 #: Characters of a shingle (a power of two) and the least similarity of a link.
 SHINGLE, THRESHOLD = 8, 0.8
 #: 10 bands of 3 rows find a pair at the threshold with probability 0.9992.
 BANDS, ROWS = 10, 3
+#: Shingles of a piece of a line.
+PIECE = 32
+#: 64-bit words of the marks of a line, which rule out pairs before their sets are made.
+MARKS = 8
 #: Lines and characters of a block of a band on average, when all its pairs are compared.
 BLOCK_LINES, BLOCK_CHARS = 1024, 1_000_000
-#: Bytes of text whose lines share a bucket, and the number of buckets at most.
-BUCKET_BYTES, MAX_BUCKETS = 8 << 20, 1 << 24
 #: Lines that a copy of their hub's text serves on average.
 HUB_LINES = 1024
-#: Lines of a chunk, which a task combines before it sends them.
-CHUNK_LINES = 200_000
-#: Characters hashed at once.
-PART_CHARS = 48_000
 #: At most so many lines have more than this share of all occurrences; they are sent to every executor.
 FREQUENT_LINES = 10_000
 #: White space around a line that does not count.
 SPACE = " \t\n\x0b\f\r"
+#: Bits of a line's number; those above them in a rank are its occurrences.
+LID_BITS = 43
 
 _LAST = (1 << 63) - 1
 _rng = np.random.default_rng(8)
-_MUL = _rng.integers(0, 1 << 31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_XOR = _rng.integers(0, 1 << 32, (BANDS, ROWS), dtype=np.uint32)
-
-#: A distinct line: hash, occurrences, the first of them (doc_id, position, hash of the text) and bands (zeros: too short for any).
-LINE = np.dtype([("h1", "u8"), ("h2", "u8"), ("n", "i8"), ("d", "i8"), ("pos", "i8"), ("th", "i8"), ("bands", "u8", (BANDS,))])
-#: A line in a band; ``met`` if others of its chunk are in it too.
-MEMBER = np.dtype([("band", "u8"), ("lid", "i8"), ("n", "i4"), ("met", "i4")])
-
-
-def _shingle_codes(lines: list[str], kind: type) -> np.ndarray:
-    """A hash of ``kind`` of the ``SHINGLE`` characters from each place of the lines, one after the other; those
-    that reach beyond a line's end mean nothing."""
-    u = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(kind)
-    h = np.concatenate([u, np.zeros(SHINGLE, kind)])
-    most, half = np.iinfo(kind).max, kind(np.dtype(kind).itemsize * 4 - 1)
-    width = 1
-    while width < SHINGLE:  # hashes of width characters make those of twice as many
-        h = h[:-width] * kind((0x9E3779B97F4A7C15 + (width << 20)) & most) + h[width:]
-        h ^= h >> half
-        width *= 2
-    h *= kind(0x94D049BB133111EB & most)
-    h ^= h >> half
-    return h
+_MUL = _rng.integers(0, 1 << 30, (BANDS, ROWS), dtype=np.int32) * np.int32(2) + np.int32(1)
+_XOR = _rng.integers(-(1 << 31), 1 << 31, (BANDS, ROWS), dtype=np.int32)
+
+
+def _murmur(words: list[np.ndarray]) -> np.ndarray:
+    """Spark's ``hash`` of the bytes of 32-bit words."""
+    turn = lambda x, k: (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+    h = np.full(len(words[0]), 42, np.uint32)
+    for w in words:
+        h = turn(h ^ (turn(w * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4 * len(words))
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """Band hashes, one row a line; zeros for a line shorter than a shingle, which resembles no other."""
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    """What agrees where the bands of :func:`_bands` agree, from minima made in numpy; zeros for a line shorter than a
+    shingle, which resembles no other."""
     out = np.zeros((len(lines), BANDS), np.uint64)
-    long = np.flatnonzero(sizes >= SHINGLE)
-    end = np.cumsum(sizes[long])
-    lo = 0
-    while lo < len(long):
-        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + PART_CHARS, "right")))
-        part = long[lo:hi]
-        h = _shingle_codes([lines[i] for i in part], np.uint32)
-        n = sizes[part]
-        at = np.repeat(np.cumsum(n) - n, 2)
-        at[1::2] += n - SHINGLE + 1
-        for b in range(BANDS):
-            key = np.full(len(part), b + 1, np.uint64)
-            for r in range(ROWS):
-                x = h * _MUL[b, r]
-                x ^= _XOR[b, r]
-                key = mixed(key * np.uint64(0x100000001B3) + np.minimum.reduceat(x, at)[::2])
-            out[part, b] = key | np.uint64(1)
-        lo = hi
+    for k, line in enumerate(lines):
+        if len(line) >= SHINGLE:
+            u = np.frombuffer(line.encode("utf-32-be", "surrogatepass"), np.uint32)
+            n = len(u) - SHINGLE + 1
+            h = _murmur([u[i : i + n] for i in range(SHINGLE)]).view(np.int32)
+            for b in range(BANDS):
+                key = np.uint64(b + 1)
+                for r in range(ROWS):
+                    least = (h * _MUL[b, r] ^ _XOR[b, r]).min().astype(np.uint64)
+                    key = mixed(np.array([key]) * np.uint64(0x100000001B3) + least)[0]
+                out[k, b] = key | np.uint64(1)
     return out
 
 
-def shingle_set(line: str) -> np.ndarray:
-    """Sorted 64-bit hashes of all shingles; a shorter line is one shingle."""
-    if len(line) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))], np.uint64)
-    return np.unique(_shingle_codes([line], np.uint64)[: len(line) - SHINGLE + 1])
+def _units(line: Column) -> Column:
+    """Four bytes a character, so that a shingle is cut without reading the line up to it."""
+    return F.encode(line, "UTF-32")
 
 
-def is_linked(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    lo, hi = sorted((len(a), len(b)))
-    if lo < threshold * hi - 1e-9:
-        return False
-    both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-    return both * (1 + threshold) >= threshold * (len(a) + len(b)) - 1e-9
+def _shingle(units: Column, i: Column) -> Column:
+    return F.substring(units, 4 * i + 1, F.lit(4 * SHINGLE))
 
 
-def _combined(lines: np.ndarray) -> np.ndarray:
-    """One record for each distinct line, sorted by hash: all its occurrences, the first of them."""
-    s = lines[np.lexsort((lines["th"], lines["pos"], lines["d"], lines["h2"], lines["h1"]))]
-    new = np.ones(len(s), bool)
-    new[1:] = (s["h1"][1:] != s["h1"][:-1]) | (s["h2"][1:] != s["h2"][:-1])
-    at = np.flatnonzero(new)
-    out = s[at]
-    out["n"] = np.add.reduceat(s["n"], at) if len(at) else 0
-    return out
+def shingle_set(line: Column) -> Column:
+    """64-bit hashes of all shingles; a shorter line is one shingle."""
+    starts = lambda u: F.sequence(F.lit(1), F.greatest(F.octet_length(u) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
+    # The units are an element of an array, or each shingle would encode the line again.
+    return F.array_distinct(F.transform(F.array(_units(line)), lambda u: F.transform(starts(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(4 * SHINGLE)))))[0])
 
 
-def _buckets(h: np.ndarray, n: int) -> np.ndarray:
-    """A bucket for each hash; buckets rise with the hashes."""
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+def _linked(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two sets are at or over the threshold; their intersection is the last to be looked at."""
+    near = F.least(F.size(a), F.size(b)) >= threshold * F.greatest(F.size(a), F.size(b)) - 1e-9
+    return near & (F.size(F.array_intersect(a, b)) * (1 + threshold) >= threshold * (F.size(a) + F.size(b)) - 1e-9)
 
 
-def _packed(records: np.ndarray, key: str, n: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, bytes) of ``records``, which are sorted by ``key``."""
-    b = _buckets(records[key], n)
-    edge = np.flatnonzero(np.diff(b, prepend=-1, append=-1)) if len(b) else []
-    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-        yield int(b[lo]), records[lo:hi].tobytes()
+def _marks(texts: DataFrame) -> DataFrame:
+    """(lid, n, marks) of ``texts`` (lid, line): the places of shingles, and a bitmap in which each shingle sets a bit."""
+    at = texts.select("lid", _units(F.col("line")).alias("u")).withColumn("last", F.greatest(F.floor(F.octet_length("u") / 4).cast("int") - SHINGLE, F.lit(0)))
+    at = at.select("lid", "u", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(PIECE))).alias("i"))
+    at = at.select("lid", "last", *[F.hash(_shingle(F.col("u"), F.least(F.col("i") + j, F.col("last")))).alias(f"c{j}") for j in range(PIECE)])
 
+    def word(w: int) -> Column:
+        bits = [F.when(F.shiftright(f"c{j}", 6).bitwiseAND(F.lit(MARKS - 1)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"c{j}"))).otherwise(F.lit(0).cast("long")) for j in range(PIECE)]
+        return F.bit_or(reduce(Column.bitwiseOR, bits)).alias(f"w{w}")
 
-def _rank(n: np.ndarray, lid: np.ndarray) -> np.ndarray:
-    """Order of hubs: lines of most occurrences first, as an original has more than its variants."""
-    return (n.astype(np.uint64) << np.uint64(40)) | (mixed(lid.astype(np.uint64)) >> np.uint64(24))
+    words = [f"w{w}" for w in range(MARKS)]
+    return at.groupBy("lid").agg((F.max("last") + 1).alias("n"), *[word(w) for w in range(MARKS)]).select("lid", "n", F.struct(*words).alias("marks"))
 
 
-def _groups(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Members sorted by band, hubs first; for each the place of its band's hub, and the size of its band."""
-    s = members[np.lexsort((~_rank(members["n"], members["lid"]), members["band"]))]
-    new = np.ones(len(s), bool)
-    new[1:] = s["band"][1:] != s["band"][:-1]
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(s)))
-    return s, np.repeat(at, size), np.repeat(size, size)
+def _may_link(na: Column, a: Column, nb: Column, b: Column, threshold: float) -> Column:
+    """False only for lines under the threshold: a bit that one line alone has set is a shingle that the other lacks, and
+    linked sets differ in (1 - t) / (1 + t) of their sizes at most, which the places of shingles bound."""
+    apart = reduce(Column.__add__, [F.bit_count(a[f"w{w}"].bitwiseXOR(b[f"w{w}"])) for w in range(MARKS)])
+    return apart <= (1 - threshold) / (1 + threshold) * (na + nb) + 1e-6
 
 
-def _cut(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """From (d, th, text): a row for each document with its lines, and packed rows of the distinct lines of a chunk."""
-    pending: list[np.ndarray] = []
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """(d, th, pos, line, h1, h2) of the lines of ``docs`` (d, th, text); blank ones have a null line."""
+    each = docs.select("d", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    each = each.select("d", "th", "pos", F.nullif(F.trim("raw", F.lit(SPACE)), F.lit("")).alias("line"))
+    return each.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
 
-    def rows(docs: list[tuple], packed: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*[(None, None, *x) for x in docs], *[(*x, None, None, None, None, None) for x in packed], strict=True)) or [()] * 7
-        kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "payload", "d", "th", "pos", "h1", "h2"])
 
-    for batch in batches:
-        docs = []
-        at: dict[str, int] = {}
-        found: list[tuple[int, int, int, int]] = []
-        for d, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            where, which = [], []
-            for pos, raw in enumerate(text.split("\n")):
-                if line := raw.strip(SPACE):
-                    k = at.setdefault(line, len(at))
-                    where.append(pos)
-                    which.append(k)
-                    found.append((k, d, pos, th))
-            if where:
-                docs.append((d, th, where, which))
-        if not at:
-            continue
-        lines = list(at)
-        digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64).reshape(-1, 2)
-        own = np.array(found, np.int64)
-        rec = np.zeros(len(own), LINE)
-        rec["h1"], rec["h2"] = digest[own[:, 0], 0], digest[own[:, 0], 1]
-        rec["n"], rec["d"], rec["pos"], rec["th"] = 1, own[:, 1], own[:, 2], own[:, 3]
-        order = np.lexsort((digest[:, 1], digest[:, 0]))
-        rec = _combined(rec)
-        rec["bands"] = signatures([lines[i] for i in order])
-        pending.append(rec)
-        signed = digest.view(np.int64)
-        yield rows([(d, th, where, signed[which, 0], signed[which, 1]) for d, th, where, which in docs], [])
-        if sum(map(len, pending)) > CHUNK_LINES:
-            yield rows([], list(_packed(_combined(np.concatenate(pending)), "h1", n_buckets)))
-            pending = []
-    if pending:
-        yield rows([], list(_packed(_combined(np.concatenate(pending)), "h1", n_buckets)))
-
-
-_CUT = "bucket int, payload binary, d bigint, th bigint, pos array<int>, h1 array<bigint>, h2 array<bigint>"
-_DISTINCT = "bucket int, payload binary, band bigint, hub bigint, lid bigint, h1 bigint, h2 bigint, n bigint, d bigint, pos bigint, th bigint"
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """The payloads of each bucket from rows (bucket, payload) sorted by bucket."""
-    key, got = None, []
-    for b in batches:
-        for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if k != key:
-                if got:
-                    yield key, got
-                key, got = k, []
-            got.append(x.as_py())
-    if got:
-        yield key, got
-
-
-def _distinct(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """From the packed lines of a bucket: its distinct lines, the members of bands that meet in it, and a packed hub of each band."""
-    for bucket, payloads in _by_bucket(batches):
-        lines = _combined(np.frombuffer(b"".join(payloads), LINE))
-        lid = (np.int64(bucket) << np.int64(32)) + np.arange(len(lines))
-        signed = np.flatnonzero(lines["bands"][:, 0] > 0)
-        members = np.zeros(len(signed) * BANDS, MEMBER)
-        members["band"], members["lid"] = lines["bands"][signed].ravel(), np.repeat(lid[signed], BANDS)
-        members["n"] = np.repeat(np.minimum(lines["n"][signed], 1 << 22), BANDS)
-        s, hub, size = _groups(members)
-        s["met"] = size > 1
-        is_hub = hub == np.arange(len(s))
-        packed = list(_packed(s[is_hub], "band", n_buckets))
-        yield _rows(packed, s[~is_hub], s["lid"][hub[~is_hub]], lid, lines)
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the packed hubs of a bucket: those of bands with several members, with the hub of all."""
-    for _, payloads in _by_bucket(batches):
-        s, hub, size = _groups(np.frombuffer(b"".join(payloads), MEMBER))
-        keep = (size > 1) | (s["met"] > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s["band"][keep].view(np.int64), s["lid"][hub[keep]], s["lid"][keep])], names=["band", "hub", "lid"])
-
-
-def _rows(packed: list[tuple], members: np.ndarray, hubs: np.ndarray, lid: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
-    sizes = [len(packed), len(members), len(lid)]
-    blank = lambda n: pa.nulls(n, pa.int64())
-
-    def column(of_members: np.ndarray | None, of_lines: np.ndarray | None) -> pa.Array:
-        parts = [blank(sizes[0]), blank(sizes[1]) if of_members is None else pa.array(of_members), blank(sizes[2]) if of_lines is None else pa.array(of_lines)]
-        return pa.concat_arrays(parts)
-
-    first = [pa.array([x[0] for x in packed] + [None] * (sizes[1] + sizes[2]), pa.int32()), pa.array([x[1] for x in packed] + [None] * (sizes[1] + sizes[2]), pa.binary())]
-    rest = [column(members["band"].view(np.int64), None), column(np.ascontiguousarray(hubs), None), column(np.ascontiguousarray(members["lid"]), lid)]
-    rest += [column(None, np.ascontiguousarray(lines[k]).view(np.int64)) for k in ("h1", "h2", "n", "d", "pos", "th")]
-    return pa.RecordBatch.from_arrays([*first, *rest], names=_names(_DISTINCT))
-
-
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
+def _distinct_lines(docs: DataFrame) -> DataFrame:
+    """(lid, h1, h2, n, d, bands) of the distinct lines of ``docs`` (d, th, text): occurrences, the smallest ``d`` of
+    them, and hashes of the bands of the signature (null for a line shorter than a shingle).
+
+    Minima combine before the shuffle, so a line is sent once a task, however often it stands there, and without its text.
+    """
+    at = _occurrences(docs).select("d", "h1", "h2", _units(F.col("line")).alias("u"))
+    at = at.withColumn("last", F.floor(F.octet_length("u") / 4).cast("int") - SHINGLE)
+    # An empty piece list for blank lines, and one piece for lines shorter than a shingle.
+    at = at.select("d", "h1", "h2", "u", "last", F.explode(F.when(F.col("u").isNotNull(), F.sequence(F.lit(0), F.greatest("last", F.lit(0)), F.lit(PIECE)))).alias("i"))
+    # The last shingle fills up its piece, which changes no minimum.
+    code = lambda j: F.hash(_shingle(F.col("u"), F.greatest(F.least(F.col("i") + j, F.col("last")), F.lit(0))))
+    at = at.select("d", "h1", "h2", "last", F.when(F.col("i") == 0, 1).otherwise(0).alias("one"), *[code(j).alias(f"c{j}") for j in range(PIECE)])
+
+    def least(b: int, r: int) -> Column:
+        return F.min(F.least(*[(F.col(f"c{j}") * F.lit(int(_MUL[b, r]))).bitwiseXOR(F.lit(int(_XOR[b, r]))) for j in range(PIECE)])).alias(f"m{b}_{r}")
+
+    with _wrapping(docs.sparkSession):
+        lines = at.groupBy("h1", "h2").agg(F.sum("one").alias("n"), F.min("d").alias("d"), F.max("last").alias("last"), *[least(b, r) for b in range(BANDS) for r in range(ROWS)])
+    number = F.monotonically_increasing_id()  # the partition above 33 bits
+    return lines.select(number.alias("number"), "*").select(_lid(F.col("number")).alias("lid"), "h1", "h2", "n", "d", F.when(F.col("last") >= 0, _bands()).alias("bands"))
+
+
+@contextmanager
+def _wrapping(spark: SparkSession) -> Iterator[None]:
+    """Products of integers made here keep their low bits; what a product does is settled when its column joins a plan."""
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+
+
+def _bands() -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), *[f"m{b}_{r}" for r in range(ROWS)]) for b in range(BANDS)])
+
+
+def _lid(number: Column) -> Column:
+    """A line's number in ``LID_BITS``: 27 for its place in a partition, 16 for the partition."""
+    place, part = number.bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright(number, 33)
+    fits = (place < 1 << 27) & (part < 1 << 16)
+    return F.when(fits, F.shiftleft(part, 27).bitwiseOR(place)).otherwise(F.raise_error(F.lit("too many lines in a partition")).cast("long"))
+
+
+def _members(lines: DataFrame) -> DataFrame:
+    """(band, hub, lid) of the bands in which several lines meet. The hub is the line of most occurrences, as an original
+    has more than its variants."""
+    rank = F.shiftleft(F.least("n", F.lit((1 << 19) - 1)).cast("long"), LID_BITS).bitwiseOR(F.col("lid"))
+    banded = lines.where("bands is not null").select(rank.alias("rank"), F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.max("rank").alias("most"), F.count("*").alias("k")).where("k > 1").select("band", "most")
+    number = lambda c: F.col(c).bitwiseAND(F.lit((1 << LID_BITS) - 1))
+    return banded.join(hubs.hint("shuffle_hash"), "band").select("band", number("most").alias("hub"), number("rank").alias("lid"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lid, line) of ``wanted`` (lid, h1, h2, d) from ``docs`` (d, th, text)."""
+    some = docs.join(wanted.select("d").distinct().hint("shuffle_hash"), "d", "left_semi")
+    found = _occurrences(some).where("line is not null").select("d", "h1", "h2", "line").join(wanted.hint("shuffle_hash"), ["d", "h1", "h2"])
+    # A line can stand several times in its first document.
+    return found.select("lid", "line").dropDuplicates(["lid"])
+
+
+def is_linked(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    lo, hi = sorted((len(a), len(b)))
+    if lo < threshold * hi - 1e-9:
+        return False
+    both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return both * (1 + threshold) >= threshold * (len(a) + len(b)) - 1e-9
 
 
 def _compare_with_hub(batches: Iterator[pa.RecordBatch], threshold: float, set_of: Callable[[str], np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -330,25 +276,31 @@ def _unit_links(i: int, j: int, xs: list[dict], threshold: float, set_of: Callab
     return links
 
 
-def _shingle_sets() -> Callable[[str], np.ndarray]:
-    return shingle_set
-
-
-def similar_components(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, make: Callable[[], Callable[[str], np.ndarray]] = _shingle_sets) -> DataFrame:
+def similar_components(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, make: Callable[[], Callable[[str], np.ndarray]] | None = None) -> DataFrame:
     """(lid, component) of the lines that links join, from ``members`` (band, hub, lid) and ``texts`` (lid, line).
 
-    ``make`` gives each task the function from a text to its sorted set of hashes. Every line is compared with the hub that it shares most bands with; then all pairs of a
+    Sets are those of :func:`shingle_set`, compared by DataFrame functions; where others are asked for, ``make`` gives
+    each task the function from a text to its sorted set of hashes, and Python compares them. Every line is compared with the hub that it shares most bands with; then all pairs of a
     band that lie in different components are, so that no link between lines of a band is left out.
     """
+    if make is None:
+        texts = materialize(texts.join(_marks(texts), "lid").select("lid", "line", "n", "marks"))
+    extra = [] if make else ["n", "marks"]
+    side = lambda k: [F.col("lid").alias(k), F.col("line").alias(f"l{k}"), *[F.col(c).alias(f"{c}_{k}") for c in extra]]
     shared = members.where("lid <> hub").groupBy("lid", "hub").agg(F.count("*").alias("k"))
     tried = shared.groupBy(F.col("lid").alias("b")).agg(F.max(F.struct("k", "hub")).alias("x")).select(F.col("x.hub").alias("a"), "b")
     tried = materialize(tried)
     # A hub of very many lines is copied, so that they do not meet in one task.
     copies = tried.groupBy("a").agg(F.ceil(F.count("*") / HUB_LINES).cast("int").alias("copies"))
-    hubs = copies.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    hubs = copies.join(texts.select(*side("a")), "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     tried = tried.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"))
-    pairs = tried.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b").join(hubs.drop("copies"), ["a", "copy"])
-    links = materialize(pairs.select("a", "b", "la", "lb").mapInArrow(lambda bs: _compare_with_hub(bs, threshold, make()), "a bigint, b bigint"))
+    pairs = tried.join(texts.select(*side("b")), "b").join(hubs.drop("copies"), ["a", "copy"])
+    if make is None:
+        near = pairs.where(_may_link(F.col("n_a"), F.col("marks_a"), F.col("n_b"), F.col("marks_b"), threshold))
+        sets = near.select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
+        links = materialize(sets.where(_linked(F.col("sa"), F.col("sb"), threshold)).select("a", "b"))
+    else:
+        links = materialize(pairs.select("a", "b", "la", "lb").mapInArrow(lambda bs: _compare_with_hub(bs, threshold, make()), "a bigint, b bigint"))
     comps = connected_components(links, "a", "b").withColumnRenamed("node", "lid")
     more = materialize(_across(members, comps, texts, threshold, make))
     if more.isEmpty():
@@ -357,7 +309,7 @@ def similar_components(members: DataFrame, texts: DataFrame, threshold: float =
     return joined.withColumnRenamed("node", "lid")
 
 
-def _across(members: DataFrame, comps: DataFrame, texts: DataFrame, threshold: float, make: Callable[[], Callable[[str], np.ndarray]]) -> DataFrame:
+def _across(members: DataFrame, comps: DataFrame, texts: DataFrame, threshold: float, make: Callable[[], Callable[[str], np.ndarray]] | None) -> DataFrame:
     """Links (a, b) between components that have similar lines in one band.
 
     Bands of the same lines are compared once. Bands of one largest component share units, to
@@ -374,16 +326,14 @@ def _across(members: DataFrame, comps: DataFrame, texts: DataFrame, threshold: f
     blocks = lambda k, c: F.greatest(F.lit(1), F.ceil(F.greatest(k / BLOCK_LINES, c / BLOCK_CHARS))).cast("int")
     bands = bands.select("b.band", F.col("b.most.component").alias("largest"), "k", "b.c", F.col("b.most.k").alias("most_k"), F.col("b.most.c").alias("most_c"), blocks(F.col("k"), F.col("b.c")).alias("n_all"))
     bands = materialize(bands.withColumns({"n_most": blocks(F.col("most_k"), F.col("most_c")), "n_rest": blocks(F.col("k") - F.col("most_k"), F.col("c") - F.col("most_c"))}))
+    if make is None:
+        return _across_in_rows(m, bands, texts, threshold)
     small = bands.where("n_all = 1")
     shares = small.groupBy("largest").agg(blocks(F.sum("k") / 4, F.sum("c") / 4).alias("n_units"))
     small = small.join(shares, "largest").select("band", F.struct(F.lit(0).alias("kind"), F.col("largest").alias("of"), F.pmod(F.xxhash64("band"), "n_units").cast("int").alias("i"), F.lit(0).alias("j")).alias("unit"))
     tag = lambda block: F.struct("band", block.cast("int").alias("block")).alias("tag")
     inside = m.join(small, "band").select("unit", "lid", "component", tag(F.lit(0)))
-    big = m.join(bands.where("n_all > 1"), "band")
-    h, of_most = F.xxhash64("lid"), F.col("component") == F.col("largest")
-    big = big.withColumn("block", F.when(of_most, F.pmod(h, F.col("n_most"))).otherwise(F.col("n_most") + F.pmod(h, F.col("n_rest"))).cast("int"))
-    last = F.col("n_most") + F.col("n_rest") - 1
-    big = big.withColumn("other", F.explode(F.when(of_most, F.sequence(F.col("n_most"), last)).otherwise(F.sequence(F.lit(0), last))))
+    big = _blocks(m.join(bands.where("n_all > 1"), "band"))
     between = big.select(F.struct(F.lit(1).alias("kind"), F.col("band").alias("of"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("unit"), "lid", "component", tag(F.col("block")))
     rows = inside.union(between).groupBy("unit", "lid").agg(F.first("component").alias("component"), F.collect_list("tag").alias("tags"))
     rows = rows.join(texts, "lid").groupBy("unit").agg(F.collect_list(F.struct("lid", "component", "line", "tags")).alias("xs"))
@@ -391,6 +341,42 @@ def _across(members: DataFrame, comps: DataFrame, texts: DataFrame, threshold: f
     return rows.select(side("i"), side("j"), "xs").mapInArrow(lambda bs: _compare_units(bs, threshold, make()), "a bigint, b bigint").distinct()
 
 
+def _blocks(big: DataFrame) -> DataFrame:
+    """Each member with its ``block`` and each ``other`` block it meets; those of the largest component meet not each other."""
+    h, of_most = F.xxhash64("lid"), F.col("component") == F.col("largest")
+    big = big.withColumn("block", F.when(of_most, F.pmod(h, F.col("n_most"))).otherwise(F.col("n_most") + F.pmod(h, F.col("n_rest"))).cast("int"))
+    last = F.col("n_most") + F.col("n_rest") - 1
+    return big.withColumn("other", F.explode(F.when(of_most, F.sequence(F.col("n_most"), last)).otherwise(F.sequence(F.lit(0), last))))
+
+
+def _across_in_rows(m: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The links of :func:`_across` by DataFrame functions: a row takes a small band, or a pair of blocks of a larger one."""
+    zero = F.lit(0)
+    inside = m.join(bands.where("n_all = 1").select("band"), "band").select("band", zero.alias("i"), zero.alias("j"), zero.alias("block"), "lid", "component")
+    between = _blocks(m.join(bands.where("n_all > 1"), "band")).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "lid", "component")
+    unit = ("band", "i", "j")
+    near = lambda a, b: (a["component"] != b["component"]) & _may_link(a["n"], a["marks"], b["n"], b["marks"], threshold)
+    members = inside.union(between)
+    # First the lines that marks allow a link at all, each once a row; sets are made of these only.
+    rows = members.join(texts.select("lid", "n", "marks"), "lid").groupBy(*unit).agg(F.collect_list(F.struct("block", "lid", "component", "n", "marks")).alias("xs"))
+    some = F.filter("xs", lambda a: F.exists("xs", lambda b: ((F.col("i") == F.col("j")) | (a["block"] != b["block"])) & near(a, b)))
+    members = rows.select(*unit, F.explode(some).alias("x")).select(*unit, "x.*")
+    rows = members.join(texts.select("lid", "line"), "lid").groupBy(*unit).agg(F.collect_list(F.struct("block", "lid", "component", "n", "marks", "line")).alias("xs"))
+
+    def meets(a: Column, b: Column) -> Column:
+        once = (b["block"] == F.col("j")) & ((F.col("i") < F.col("j")) | (a["lid"] < b["lid"]))
+        return once & near(a, b) & _linked(a["s"], b["s"], threshold)
+
+    def links(xs: Column) -> Column:
+        of = lambda a: F.transform(F.filter(xs, lambda b: meets(a, b)), lambda b: F.struct(a["component"].alias("a"), b["component"].alias("b")))
+        return F.flatten(F.transform(F.filter(xs, lambda a: a["block"] == F.col("i")), of))
+
+    made = F.transform("xs", lambda x: F.struct(*[x[c].alias(c) for c in ("block", "lid", "component", "n", "marks")], shingle_set(x["line"]).alias("s")))
+    # As an element of an array, the sets of a row are made once and not for each pair.
+    found = F.transform(F.array(made), links)[0]
+    return rows.select(F.explode(found).alias("x")).select("x.a", "x.b").distinct()
+
+
 def _fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front until no column of ``df`` has them."""
     taken = {c.lower() for c in df.columns}
@@ -402,25 +388,6 @@ def _fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _first_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lid, line) of ``wanted`` (lid, d, th, pos) from ``docs`` (d, th, text)."""
-    places = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("lid", "pos")).alias("places"))
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, lines = [], []
-            for text, places in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                parts = text.as_py().split("\n")
-                for x in places:
-                    ids.append(x["lid"])
-                    lines.append(parts[x["pos"]].strip(SPACE))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["lid", "line"])
-
-    # Repeated rows of one document give a line each.
-    found = docs.join(places.hint("shuffle_hash"), ["d", "th"]).select("text", "places").mapInArrow(take, "lid bigint, line string")
-    return found.dropDuplicates(["lid"])
-
-
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) with ``n_lines`` and ``n_kept``; ``text`` holds the lines that stay.
 
@@ -432,72 +399,45 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     the same lines. Existing columns of the two names are replaced, any others are
     kept whatever their names; whole texts and whole lines of any length are read; an empty table stays empty.
     """
-    spark = docs.sparkSession
-    small_batches(spark, size="8m")  # texts are copied several times on their way through Python
     docs = docs.drop("n_lines", "n_kept")
     d, th = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th")
     own = docs.where("text is not null").select(d, th, "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_buckets = int(min(MAX_BUCKETS, max(2 * spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))))
-    cut = materialize(own.mapInArrow(lambda bs: _cut(bs, n_buckets), _CUT))
-    dealt = lambda df: df.where("bucket is not null").select("bucket", "payload").repartition("bucket").sortWithinPartitions("bucket")
-    distinct = materialize(dealt(cut).mapInArrow(lambda bs: _distinct(bs, n_buckets), _DISTINCT), clean=True)
-    met = dealt(distinct).mapInArrow(_meet, "band bigint, hub bigint, lid bigint")
-    members = materialize(distinct.where("band is not null").select("band", "hub", "lid").union(met), clean=True)
-    lines = distinct.where("h1 is not null").select("lid", "h1", "h2", "n", F.struct("d", "pos", "th").alias("first"))
-    texts = materialize(_first_lines(own, lines.join(members.select("lid").distinct(), "lid", "left_semi").select("lid", "first.*")), clean=True)
+    lines = materialize(_distinct_lines(own), clean=True)
+    members = materialize(_members(lines), clean=True)
+    wanted = lines.join(members.select("lid").distinct().hint("shuffle_hash"), "lid", "left_semi").select("lid", "h1", "h2", "d")
+    texts = materialize(_texts(own, materialize(wanted)), clean=True)
     comps = similar_components(members, texts, threshold)
     drop(members)
     drop(texts)
+    lines = lines.select("lid", "h1", "h2", "n", "d")
     fuzzy = lines.join(comps, "lid")
-    keep = fuzzy.groupBy("component").agg(F.min("first").alias("keep"))
-    decided = fuzzy.join(keep, "component").select("h1", "h2", "n", "keep")
-    exact = lines.where("n > 1").join(comps.select("lid"), "lid", "left_anti").select("h1", "h2", "n", F.col("first").alias("keep"))
-    decided = materialize(decided.union(exact))
-    gone = _gone(cut, decided)
-    x_d, x_th, x_gone = _fresh(docs, "d", "th", "gone")
+    keep = fuzzy.groupBy("component").agg(F.min("d").alias("keep"))
+    decided = fuzzy.join(keep, "component").select("h1", "h2", "n", "component", "keep")
+    exact = lines.where("n > 1").join(comps.select("lid"), "lid", "left_anti").select("h1", "h2", "n", F.col("lid").alias("component"), F.col("d").alias("keep"))
+    decided = materialize(decided.union(exact), clean=True)
+    gone = materialize(_gone(_occurrences(own).where("line is not null").drop("line"), decided), clean=True)
+    x_d, x_th, x_gone, x_parts, x_kept = _fresh(docs, "d", "th", "gone", "parts", "kept")
     x = docs.withColumns({x_d: d, x_th: th}).join(gone.toDF(x_d, x_th, x_gone).hint("shuffle_hash"), [x_d, x_th], "left")
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_kept", LongType())])
-    return x.select(*docs.columns, x_gone).mapInArrow(lambda bs: _rewritten(bs, schema.names), _nullable(schema))
-
-
-def _nullable(schema: StructType) -> StructType:
-    return StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in schema.fields])
+    x = x.withColumn(x_parts, F.split("text", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size(x_parts) - 1), x_gone)
+    x = x.withColumn(x_kept, F.when(F.col(x_gone).isNotNull(), F.transform(left, lambda i: F.get(F.col(x_parts), i))))
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(x_parts)), F.lit(0)).cast("long")
+    x = x.withColumns({"n_lines": n_lines, "n_kept": F.coalesce(F.when(F.col(x_kept).isNotNull(), F.size(x_kept)).cast("long"), n_lines)})
+    return x.withColumn("text", F.coalesce(F.array_join(x_kept, "\n"), "text")).select(*docs.columns, "n_lines", "n_kept")
 
 
-def _gone(cut: DataFrame, decided: DataFrame) -> DataFrame:
-    """(d, th, positions) of the lines that go: all occurrences of a decided line but the one that stays."""
-    each = cut.where("d is not null").select("d", "th", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("x")).select("d", "th", "x.pos", "x.h1", "x.h2")
+def _gone(each: DataFrame, decided: DataFrame) -> DataFrame:
+    """(d, th, positions) of the lines that go, from all occurrences ``each`` (d, th, pos, h1, h2): those of a component but the first."""
     total = decided.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = decided.where(F.col("n") > max(100_000, total // FREQUENT_LINES))
+    decided = decided.drop("n")
     if frequent.isEmpty():
-        at = each.join(decided, ["h1", "h2"])
+        at = each.join(decided.hint("shuffle_hash"), ["h1", "h2"])
     else:
         # At most FREQUENT_LINES rows, by the choice of the bound; their occurrences do not meet in one task.
-        rare = each.join(F.broadcast(frequent.select("h1", "h2")), ["h1", "h2"], "left_anti").join(decided, ["h1", "h2"])
-        at = rare.unionByName(each.join(F.broadcast(frequent), ["h1", "h2"]))
-    stays = (F.col("d") == F.col("keep.d")) & (F.col("pos") == F.col("keep.pos")) & (F.col("th") == F.col("keep.th"))
-    return at.where(~stays).groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))
-
-
-def _rewritten(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines at the places in the last column, which gives way to the two counts."""
-    at = names.index("text")
-    for b in batches:
-        texts, n_lines, n_kept = [], [], []
-        for text, gone in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-            if text is not None:
-                parts = text.split("\n")
-                n_lines.append(len(parts))
-                if gone:
-                    gone = set(gone)
-                    parts = [x for i, x in enumerate(parts) if i not in gone]
-                    text = "\n".join(parts)
-                n_kept.append(len(parts))
-            else:
-                n_lines.append(0)
-                n_kept.append(0)
-            texts.append(text)
-        cols = list(b.columns[:-1])
-        cols[at] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())], names=names)
+        rare = each.join(F.broadcast(frequent.select("h1", "h2")), ["h1", "h2"], "left_anti").join(decided.hint("shuffle_hash"), ["h1", "h2"])
+        at = rare.unionByName(each.join(F.broadcast(frequent.drop("n")), ["h1", "h2"]))
+    # Rows that repeat share a rank.
+    first = F.rank().over(Window.partitionBy("component", "d").orderBy("pos", "th"))
+    at = at.withColumn("k", first).where("d <> keep or k > 1")
+    return at.groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))

@@ -97,6 +97,46 @@ def test_all_lines_of_a_band_are_compared(spark, monkeypatch, block):
     assert got == dict.fromkeys(range(6), 0)
 
 
+def test_line_dedup_runs_no_python_on_executors(spark, monkeypatch):
+    def refuse(*args, **kwargs):
+        raise AssertionError("Python on the executors")
+
+    df = spark.createDataFrame([(1, "a line that is repeated\nsome other line"), (2, "a line that is repeated\nsome other lines")], "doc_id bigint, text string")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(df), name, refuse)
+    out = linedup.dedup_lines(df)
+    assert [(r.doc_id, r.n_lines, r.n_kept) for r in out.collect()] == [(1, 2, 2), (2, 2, 0)]
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+
+
+def test_bands_of_lines_are_those_of_numpy(spark):
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abcdef \u00e9\U0001f600") for _ in range(rng.choice((3, 8, 9, 39, 40, 41, 250)))) for _ in range(40)]
+    lines = list(dict.fromkeys(lines + [edited(rng, x, 1) for x in lines if len(x) == 250]))
+    docs = spark.createDataFrame([(k, 0, x) for k, x in enumerate(lines)], "d bigint, th bigint, text string")
+    got = {r.d: r.bands for r in linedup._distinct_lines(docs).collect()}
+    want = linedup.signatures([x.strip(linedup.SPACE) for x in lines])
+    of: dict = {}
+    for k, row in enumerate(want):
+        assert (got[k] is None) == (not row[0])
+        for mine, theirs in zip(got[k] or [], row, strict=bool(got[k])):
+            assert of.setdefault(int(theirs), mine) == mine
+    assert len(set(of.values())) == len(of)
+
+
+def test_marks_rule_out_no_linked_pair(spark):
+    # Repeated shingles too: their places are more than the shingles.
+    rng = random.Random(13)
+    lines = ["".join(rng.choice("abc ") for _ in range(rng.choice((12, 90, 600)))) for _ in range(30)] + ["ab" * 40, "abc" * 30]
+    pairs = [(a, edited(rng, a, rng.choice((1, 2, 8)))) for a in lines for _ in range(4)] + [("ab" * 40, "ab" * 90)]
+    texts = spark.createDataFrame(list(enumerate(x for p in pairs for x in p)), "lid bigint, line string")
+    m = linedup._marks(texts)
+    m = m.toDF("a", "na", "ma").crossJoin(m.toDF("b", "nb", "mb")).where("b = a + 1 and a % 2 = 0")
+    ok = {r.a // 2: r.ok for r in m.select("a", linedup._may_link(m.na, m.ma, m.nb, m.mb, 0.8).alias("ok")).collect()}
+    linked = [jaccard(a, b) >= 0.8 for a, b in pairs]
+    assert all(ok[k] for k, x in enumerate(linked) if x) and any(linked) and not all(ok.values())
+
+
 # 4 decontamination
 
 

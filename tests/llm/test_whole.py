@@ -132,7 +132,7 @@ def test_marks_rule_out_no_linked_pair(spark):
     texts = spark.createDataFrame(list(enumerate(x for p in pairs for x in p)), "lid bigint, line string")
     m = linedup._marks(texts)
     m = m.toDF("a", "na", "ma").crossJoin(m.toDF("b", "nb", "mb")).where("b = a + 1 and a % 2 = 0")
-    ok = {r.a // 2: r.ok for r in m.select("a", linedup._may_link(m.na, m.ma, m.nb, m.mb, 0.8).alias("ok")).collect()}
+    ok = {r.a // 2: r.ok for r in m.select("a", linedup._may_link(m["na"], m["ma"], m["nb"], m["mb"], 0.8).alias("ok")).collect()}
     linked = [jaccard(a, b) >= 0.8 for a, b in pairs]
     assert all(ok[k] for k, x in enumerate(linked) if x) and any(linked) and not all(ok.values())
 

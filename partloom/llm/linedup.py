@@ -32,10 +32,13 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 3
 #: Shingles of a piece of a line.
 PIECE = 32
-#: 64-bit words of the marks of a line, which rule out pairs before their sets are made.
-MARKS = 8
+#: 64-bit words of the marks of a line, which rule out pairs before their sets are made (a power of two). Marks that most
+#: bits are set in rule out nothing, so there are more bits than shingles in nearly all lines.
+MARKS = 32
 #: Lines and characters of a block of a band on average, when all its pairs are compared.
 BLOCK_LINES, BLOCK_CHARS = 1024, 1_000_000
+#: Pairs a line of a row that are taken out of it, to be compared once for all bands.
+PAIRS = 4
 #: Lines that a copy of their hub's text serves on average.
 HUB_LINES = 1024
 #: At most so many lines have more than this share of all occurrences; they are sent to every executor.
@@ -103,18 +106,23 @@ def _linked(a: Column, b: Column, threshold: float) -> Column:
     return near & (F.size(F.array_intersect(a, b)) * (1 + threshold) >= threshold * (F.size(a) + F.size(b)) - 1e-9)
 
 
-def _marks(texts: DataFrame) -> DataFrame:
-    """(lid, n, marks) of ``texts`` (lid, line): the places of shingles, and a bitmap in which each shingle sets a bit."""
-    at = texts.select("lid", _units(F.col("line")).alias("u")).withColumn("last", F.greatest(F.floor(F.octet_length("u") / 4).cast("int") - SHINGLE, F.lit(0)))
-    at = at.select("lid", "u", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(PIECE))).alias("i"))
-    at = at.select("lid", "last", *[F.hash(_shingle(F.col("u"), F.least(F.col("i") + j, F.col("last")))).alias(f"c{j}") for j in range(PIECE)])
+def _linked_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (la, lb, ...) whose lines are at or over the threshold, by their whole sets."""
+    sets = pairs.withColumns({"la": shingle_set(F.col("la")), "lb": shingle_set(F.col("lb"))})
+    return sets.where(_linked(F.col("la"), F.col("lb"), threshold)).drop("la", "lb")
+
 
-    def word(w: int) -> Column:
-        bits = [F.when(F.shiftright(f"c{j}", 6).bitwiseAND(F.lit(MARKS - 1)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"c{j}"))).otherwise(F.lit(0).cast("long")) for j in range(PIECE)]
-        return F.bit_or(reduce(Column.bitwiseOR, bits)).alias(f"w{w}")
+def _marks(texts: DataFrame) -> DataFrame:
+    """(lid, n, marks) of ``texts`` (lid, line): the places of shingles, and a bitmap in which each shingle sets a bit.
 
-    words = [f"w{w}" for w in range(MARKS)]
-    return at.groupBy("lid").agg((F.max("last") + 1).alias("n"), *[word(w) for w in range(MARKS)]).select("lid", "n", F.struct(*words).alias("marks"))
+    Shingles are rows of one task a line, in which they meet in the words of their bits."""
+    at = texts.repartition("lid").select("lid", _units(F.col("line")).alias("u"))
+    at = at.withColumn("last", F.greatest(F.floor(F.octet_length("u") / 4).cast("int") - SHINGLE, F.lit(0)))
+    at = at.select("lid", "last", "u", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i")).select("lid", "last", F.hash(_shingle(F.col("u"), F.col("i"))).alias("c"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("c"))
+    at = at.groupBy("lid", F.shiftright("c", 6).bitwiseAND(F.lit(MARKS - 1)).alias("w")).agg(F.max("last").alias("last"), F.bit_or(bit).alias("bits"))
+    words = [F.bit_or(F.when(F.col("w") == w, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(MARKS)]
+    return at.groupBy("lid").agg((F.max("last") + 1).alias("n"), *words).select("lid", "n", F.struct(*[f"w{w}" for w in range(MARKS)]).alias("marks"))
 
 
 def _may_link(na: Column, a: Column, nb: Column, b: Column, threshold: float) -> Column:
@@ -127,7 +135,9 @@ def _may_link(na: Column, a: Column, nb: Column, b: Column, threshold: float) ->
 def _occurrences(docs: DataFrame) -> DataFrame:
     """(d, th, pos, line, h1, h2) of the lines of ``docs`` (d, th, text); blank ones have a null line."""
     each = docs.select("d", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    each = each.select("d", "th", "pos", F.nullif(F.trim("raw", F.lit(SPACE)), F.lit("")).alias("line"))
+    # A trim reads its text by characters, so it is for those that have something to lose.
+    outer = reduce(Column.__or__, [F.startswith("raw", F.lit(c)) | F.endswith("raw", F.lit(c)) for c in SPACE])
+    each = each.select("d", "th", "pos", F.nullif(F.when(outer, F.trim("raw", F.lit(SPACE))).otherwise(F.col("raw")), F.lit("")).alias("line"))
     return each.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
 
 
@@ -297,8 +307,7 @@ def similar_components(members: DataFrame, texts: DataFrame, threshold: float =
     pairs = tried.join(texts.select(*side("b")), "b").join(hubs.drop("copies"), ["a", "copy"])
     if make is None:
         near = pairs.where(_may_link(F.col("n_a"), F.col("marks_a"), F.col("n_b"), F.col("marks_b"), threshold))
-        sets = near.select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
-        links = materialize(sets.where(_linked(F.col("sa"), F.col("sb"), threshold)).select("a", "b"))
+        links = materialize(_linked_pairs(near.select("a", "b", "la", "lb"), threshold))
     else:
         links = materialize(pairs.select("a", "b", "la", "lb").mapInArrow(lambda bs: _compare_with_hub(bs, threshold, make()), "a bigint, b bigint"))
     comps = connected_components(links, "a", "b").withColumnRenamed("node", "lid")
@@ -350,31 +359,44 @@ def _blocks(big: DataFrame) -> DataFrame:
 
 
 def _across_in_rows(m: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The links of :func:`_across` by DataFrame functions: a row takes a small band, or a pair of blocks of a larger one."""
+    """The links of :func:`_across` by DataFrame functions: a row takes a small band, or a pair of blocks of a larger one.
+
+    Marks leave few pairs of most rows, which are compared once for all their bands; where they leave more than
+    ``PAIRS`` a line, the pairs are compared inside the row, so that pairs as rows stay in proportion to the lines.
+    """
     zero = F.lit(0)
     inside = m.join(bands.where("n_all = 1").select("band"), "band").select("band", zero.alias("i"), zero.alias("j"), zero.alias("block"), "lid", "component")
     between = _blocks(m.join(bands.where("n_all > 1"), "band")).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "lid", "component")
     unit = ("band", "i", "j")
     near = lambda a, b: (a["component"] != b["component"]) & _may_link(a["n"], a["marks"], b["n"], b["marks"], threshold)
+    once = lambda a, b: (b["block"] == F.col("j")) & ((F.col("i") < F.col("j")) | (a["lid"] < b["lid"]))
+
+    def of_all(meets: Callable[[Column, Column], Column], found: Callable[[Column, Column], Column], xs: Column) -> Column:
+        of = lambda a: F.transform(F.filter(xs, lambda b: meets(a, b)), lambda b: found(a, b))
+        return F.flatten(F.transform(F.filter(xs, lambda a: a["block"] == F.col("i")), of))
+
     members = inside.union(between)
-    # First the lines that marks allow a link at all, each once a row; sets are made of these only.
     rows = members.join(texts.select("lid", "n", "marks"), "lid").groupBy(*unit).agg(F.collect_list(F.struct("block", "lid", "component", "n", "marks")).alias("xs"))
+    both = lambda a, b: F.struct(a["lid"].alias("a"), b["lid"].alias("b"), a["component"].alias("ca"), b["component"].alias("cb"))
+    pairs = of_all(lambda a, b: once(a, b) & near(a, b), both, F.col("xs"))
+    rows = materialize(rows.select(*unit, (F.size("xs") * PAIRS).alias("most"), F.slice(pairs, F.lit(1), F.size("xs") * PAIRS + 1).alias("pairs")).where(F.size("pairs") > 0))
+    few = rows.where(F.size("pairs") <= F.col("most")).select(F.explode("pairs").alias("x")).select("x.*").distinct()
+    few = few.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
+    few = _linked_pairs(few, threshold).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    # Of the other rows, lines that marks allow a link at all; sets are made of these only.
+    full = rows.where(F.size("pairs") > F.col("most")).select(*unit)
+    if full.isEmpty():
+        return few.distinct()
+    rows = members.join(full, list(unit)).join(texts.select("lid", "n", "marks"), "lid").groupBy(*unit).agg(F.collect_list(F.struct("block", "lid", "component", "n", "marks")).alias("xs"))
     some = F.filter("xs", lambda a: F.exists("xs", lambda b: ((F.col("i") == F.col("j")) | (a["block"] != b["block"])) & near(a, b)))
     members = rows.select(*unit, F.explode(some).alias("x")).select(*unit, "x.*")
     rows = members.join(texts.select("lid", "line"), "lid").groupBy(*unit).agg(F.collect_list(F.struct("block", "lid", "component", "n", "marks", "line")).alias("xs"))
-
-    def meets(a: Column, b: Column) -> Column:
-        once = (b["block"] == F.col("j")) & ((F.col("i") < F.col("j")) | (a["lid"] < b["lid"]))
-        return once & near(a, b) & _linked(a["s"], b["s"], threshold)
-
-    def links(xs: Column) -> Column:
-        of = lambda a: F.transform(F.filter(xs, lambda b: meets(a, b)), lambda b: F.struct(a["component"].alias("a"), b["component"].alias("b")))
-        return F.flatten(F.transform(F.filter(xs, lambda a: a["block"] == F.col("i")), of))
-
     made = F.transform("xs", lambda x: F.struct(*[x[c].alias(c) for c in ("block", "lid", "component", "n", "marks")], shingle_set(x["line"]).alias("s")))
+    link = lambda a, b: F.struct(a["component"].alias("a"), b["component"].alias("b"))
+    links = lambda xs: of_all(lambda a, b: once(a, b) & near(a, b) & _linked(a["s"], b["s"], threshold), link, xs)
     # As an element of an array, the sets of a row are made once and not for each pair.
     found = F.transform(F.array(made), links)[0]
-    return rows.select(F.explode(found).alias("x")).select("x.a", "x.b").distinct()
+    return few.union(rows.select(F.explode(found).alias("x")).select("x.a", "x.b")).distinct()
 
 
 def _fresh(df: DataFrame, *names: str) -> list[str]:

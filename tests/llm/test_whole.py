@@ -137,6 +137,46 @@ def test_marks_rule_out_no_linked_pair(spark):
     assert all(ok[k] for k, x in enumerate(linked) if x) and any(linked) and not all(ok.values())
 
 
+def test_marks_rule_out_long_lines_that_share_half_their_shingles(spark):
+    rng = random.Random(14)
+    lines = ["".join(rng.choice("abcdefghij ") for _ in range(700)) for _ in range(40)]
+    pairs = [(a, edited(rng, a, 35)) for a in lines]
+    assert all(0.4 < jaccard(a, b) < 0.65 for a, b in pairs)
+    texts = spark.createDataFrame(list(enumerate(x for p in pairs for x in p)), "lid bigint, line string")
+    m = linedup._marks(texts)
+    m = m.toDF("a", "na", "ma").crossJoin(m.toDF("b", "nb", "mb")).where("b = a + 1 and a % 2 = 0")
+    assert m.where(linedup._may_link(m["na"], m["ma"], m["nb"], m["mb"], 0.8)).count() == 0
+
+
+@pytest.mark.parametrize(("pairs", "block"), [(4, 1024), (0, 1024), (1, 8)])
+def test_pairs_inside_and_outside_their_row_make_the_same_links(spark, monkeypatch, pairs, block):
+    rng = random.Random(15)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(4)]
+    for k in range(36):
+        lines.append(edited(rng, lines[rng.randrange(len(lines))], rng.choice((1, 2, 2, 3))))
+    root = list(range(len(lines)))
+    for _ in lines:
+        for i, a in enumerate(lines):
+            for j, b in enumerate(lines[:i]):
+                if root[i] != root[j] and jaccard(a, b) >= 0.8:
+                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    monkeypatch.setattr(linedup, "PAIRS", pairs)
+    monkeypatch.setattr(linedup, "BLOCK_LINES", block)
+    df = spark.createDataFrame(list(enumerate(lines)), "lid bigint, line string")
+    # Two bands, of which the second has a part of the lines.
+    members = df.selectExpr("1L AS band", "0L AS hub", "lid").union(df.where("lid < 9").selectExpr("2L AS band", "4L AS hub", "lid"))
+    got = {r.lid: r.component for r in linedup.similar_components(members, df).collect()}
+    assert [got.get(k, k) for k in range(len(lines))] == root
+
+
+@pytest.mark.parametrize("c", ["", *linedup.SPACE])
+def test_any_outer_white_space_is_no_part_of_a_line(spark, c):
+    own = spark.createDataFrame([(0, 0, f"{c}a b{c}\n{c}c d\ne f{c}\n{c}\n{c}{c} g\u00a0{c}")], "d bigint, th bigint, text string")
+    got = [r.line for r in linedup._occurrences(own).orderBy("pos").collect()]
+    assert [x for x in got if x] == ["a b", "c d", "e f", "g\u00a0"]
+    assert c == "\n" or got[3] is None and len(got) == 5
+
+
 # 4 decontamination
 
 

@@ -352,6 +352,27 @@ def test_urls_against_brute_force(spark):
         assert got[i] == joined[i] == brute_url(u), u
 
 
+def test_fixed_rules_have_the_words_of_the_contract(spark, tmp_path):
+    """The contract's list, written out here and not taken from the code."""
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"),
+        "http://www.example.com/en/71": ("example.com/en/7", "allow"),
+        "http://a.net/de/1": ("net/de/", "allow"),
+        "http://example.net/de/9": ("net/de/", "allow"),
+        "http://spam.cheap-pills.net/de/": ("net/de/", "allow"),
+        "http://adult-x.example.net/de/7": ("net/de/", "allow"),
+        "http://m.example.net/de/81?x": ("example.net/de/8", "block"),
+        "http://b.org/es/": ("org/es/", "block"),
+        "http://adult-x.example.net/fr/": (None, "block"),
+        "http://a.net/fr/": (None, "allow"),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id bigint, url string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op8_url_filter(spark, str(tmp_path)).collect()}
+    joined = {r.page_id: (r.rule, r.verdict) for r in urlfilter._judge_by_join(pages, urlfilter.RULES, urlfilter.BLOCKED_HOSTS, "url").collect()}
+    assert got == joined == dict(enumerate(want.values()))
+
+
 def test_cascade_is_exact(spark):
     keys = [f"k{i}" for i in range(5000)]
     listed, universe = (spark.createDataFrame([(k,) for k in ks], "key string") for ks in (keys[::7], keys))

@@ -127,9 +127,11 @@ def _marks(texts: DataFrame) -> DataFrame:
 
 def _may_link(na: Column, a: Column, nb: Column, b: Column, threshold: float) -> Column:
     """False only for lines under the threshold: a bit that one line alone has set is a shingle that the other lacks, and
-    linked sets differ in (1 - t) / (1 + t) of their sizes at most, which the places of shingles bound."""
-    apart = reduce(Column.__add__, [F.bit_count(a[f"w{w}"].bitwiseXOR(b[f"w{w}"])) for w in range(MARKS)])
-    return apart <= (1 - threshold) / (1 + threshold) * (na + nb) + 1e-6
+    linked sets differ in (1 - t) / (1 + t) of their sizes at most, which the places of shingles bound. Half of
+    the words are enough for most pairs, as they count no more than all do."""
+    apart = lambda k: reduce(Column.__add__, [F.bit_count(a[f"w{w}"].bitwiseXOR(b[f"w{w}"])) for w in range(k)])
+    most = (1 - threshold) / (1 + threshold) * (na + nb) + 1e-6
+    return reduce(Column.__and__, [apart(k) <= most for k in (MARKS // 2, MARKS)])
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -361,40 +363,52 @@ def _blocks(big: DataFrame) -> DataFrame:
 def _across_in_rows(m: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The links of :func:`_across` by DataFrame functions: a row takes a small band, or a pair of blocks of a larger one.
 
-    Marks leave few pairs of most rows, which are compared once for all their bands; where they leave more than
-    ``PAIRS`` a line, the pairs are compared inside the row, so that pairs as rows stay in proportion to the lines.
+    A pair is compared in one of its bands. Marks leave few pairs of most rows; where they leave more than ``PAIRS`` a
+    line, the pairs are compared inside the row, so that pairs as rows stay in proportion to the lines.
     """
     zero = F.lit(0)
-    inside = m.join(bands.where("n_all = 1").select("band"), "band").select("band", zero.alias("i"), zero.alias("j"), zero.alias("block"), "lid", "component")
-    between = _blocks(m.join(bands.where("n_all > 1"), "band")).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "lid", "component")
+    rest = (F.col("component") != F.col("largest")).alias("rest")
+    at = materialize(m.join(bands, "band").select("band", "lid", "component", "largest", "n_all", "n_most", "n_rest"))
+    inside = at.where("n_all = 1").select("band", zero.alias("i"), zero.alias("j"), zero.alias("block"), "lid", "component", rest)
+    between = _blocks(at.where("n_all > 1")).select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "lid", "component", rest)
     unit = ("band", "i", "j")
-    near = lambda a, b: (a["component"] != b["component"]) & _may_link(a["n"], a["marks"], b["n"], b["marks"], threshold)
-    once = lambda a, b: (b["block"] == F.col("j")) & ((F.col("i") < F.col("j")) | (a["lid"] < b["lid"]))
+    held = ("block", "lid", "component", "rest", "shared", "n", "marks")
+    # Lines of the largest component meet the others only, and two others once.
+    outer = lambda a: (a["block"] == F.col("i")) & (a["rest"] | (F.col("i") < F.col("j")))
+    once = lambda a, b: (a["component"] != b["component"]) & (b["block"] == F.col("j")) & (~b["rest"] | (a["lid"] < b["lid"]) | (F.col("i") < F.col("j")))
+    # A pair that meets in several bands is compared in the first of them.
+    first = lambda a, b: F.array_min(F.array_intersect(a["shared"], b["shared"])) == F.col("band")
+    near = lambda a, b: _may_link(a["n"], a["marks"], b["n"], b["marks"], threshold) & first(a, b)
 
     def of_all(meets: Callable[[Column, Column], Column], found: Callable[[Column, Column], Column], xs: Column) -> Column:
         of = lambda a: F.transform(F.filter(xs, lambda b: meets(a, b)), lambda b: found(a, b))
-        return F.flatten(F.transform(F.filter(xs, lambda a: a["block"] == F.col("i")), of))
+        return F.flatten(F.transform(F.filter(xs, outer), of))
 
-    members = inside.union(between)
-    rows = members.join(texts.select("lid", "n", "marks"), "lid").groupBy(*unit).agg(F.collect_list(F.struct("block", "lid", "component", "n", "marks")).alias("xs"))
+    def gathered(of: DataFrame, *more: str) -> DataFrame:
+        # So many partitions as asked for: units are few and small for the work in them, and would be put together.
+        at = of.join(texts.select("lid", *more), "lid").repartition(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), *unit)
+        return at.groupBy(*unit).agg(F.collect_list(F.struct(*held, *[c for c in more if c not in held])).alias("xs"))
+
+    members = inside.union(between).join(at.groupBy("lid").agg(F.collect_list("band").alias("shared")), "lid")
     both = lambda a, b: F.struct(a["lid"].alias("a"), b["lid"].alias("b"), a["component"].alias("ca"), b["component"].alias("cb"))
     pairs = of_all(lambda a, b: once(a, b) & near(a, b), both, F.col("xs"))
+    rows = gathered(members, "n", "marks")
     rows = materialize(rows.select(*unit, (F.size("xs") * PAIRS).alias("most"), F.slice(pairs, F.lit(1), F.size("xs") * PAIRS + 1).alias("pairs")).where(F.size("pairs") > 0))
-    few = rows.where(F.size("pairs") <= F.col("most")).select(F.explode("pairs").alias("x")).select("x.*").distinct()
+    few = rows.where(F.size("pairs") <= F.col("most")).select(F.explode("pairs").alias("x")).select("x.*")
     few = few.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
     few = _linked_pairs(few, threshold).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     # Of the other rows, lines that marks allow a link at all; sets are made of these only.
     full = rows.where(F.size("pairs") > F.col("most")).select(*unit)
     if full.isEmpty():
         return few.distinct()
-    rows = members.join(full, list(unit)).join(texts.select("lid", "n", "marks"), "lid").groupBy(*unit).agg(F.collect_list(F.struct("block", "lid", "component", "n", "marks")).alias("xs"))
-    some = F.filter("xs", lambda a: F.exists("xs", lambda b: ((F.col("i") == F.col("j")) | (a["block"] != b["block"])) & near(a, b)))
-    members = rows.select(*unit, F.explode(some).alias("x")).select(*unit, "x.*")
-    rows = members.join(texts.select("lid", "line"), "lid").groupBy(*unit).agg(F.collect_list(F.struct("block", "lid", "component", "n", "marks", "line")).alias("xs"))
-    made = F.transform("xs", lambda x: F.struct(*[x[c].alias(c) for c in ("block", "lid", "component", "n", "marks")], shingle_set(x["line"]).alias("s")))
+    rows = gathered(members.join(full, list(unit)), "n", "marks")
+    lids = F.array_distinct(F.flatten(of_all(lambda a, b: once(a, b) & near(a, b), lambda a, b: F.array(a["lid"], b["lid"]), F.col("xs"))))
+    # What is an element of an array is made once a row, and not for each line or pair.
+    some = F.transform(F.array(lids), lambda ids: F.filter("xs", lambda x: F.array_contains(ids, x["lid"])))[0]
+    rows = gathered(rows.select(*unit, F.explode(some).alias("x")).select(*unit, "x.*"), "line")
+    made = F.transform("xs", lambda x: F.struct(*[x[c].alias(c) for c in held], shingle_set(x["line"]).alias("s")))
     link = lambda a, b: F.struct(a["component"].alias("a"), b["component"].alias("b"))
     links = lambda xs: of_all(lambda a, b: once(a, b) & near(a, b) & _linked(a["s"], b["s"], threshold), link, xs)
-    # As an element of an array, the sets of a row are made once and not for each pair.
     found = F.transform(F.array(made), links)[0]
     return few.union(rows.select(F.explode(found).alias("x")).select("x.a", "x.b")).distinct()
 

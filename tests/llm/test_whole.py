@@ -169,6 +169,30 @@ def test_pairs_inside_and_outside_their_row_make_the_same_links(spark, monkeypat
     assert [got.get(k, k) for k in range(len(lines))] == root
 
 
+def test_units_of_a_band_are_spread_and_a_pair_is_made_in_one_of_them(spark, monkeypatch):
+    """Units are small to read, however long their pairs take, so they must not be put together in one task."""
+    rng = random.Random(16)
+    lines = [(10 * g + k, line) for g in range(12) for line in ["".join(rng.choice("abcdefgh ") for _ in range(150))] for k, line in enumerate([line, edited(rng, line, 1), edited(rng, line, 1), edited(rng, line, 1)])]
+    df = spark.createDataFrame(lines, "lid bigint, line string")
+    # The hub of each band is a line of another group; its own lines meet in several bands, each with another line more.
+    members = df.selectExpr("lid div 10 AS band", "(lid div 10 + 1) % 12 * 10 AS hub", "lid")
+    members = members.union(members.selectExpr("band + 100", "hub", "lid")).union(members.selectExpr("band + 100", "hub", "hub AS lid").distinct())
+    seen = {}
+    kept = linedup.materialize
+
+    def keep(rows, *args, **kwargs):
+        out = kept(rows, *args, **kwargs)
+        if "pairs" in rows.columns:
+            seen["tasks"] = rows.rdd.getNumPartitions()
+            seen["pairs"] = [frozenset((x.a, x.b)) for r in out.collect() for x in r.pairs]
+        return out
+
+    monkeypatch.setattr(linedup, "materialize", keep)
+    got = {r.lid: r.component for r in linedup.similar_components(members, df).collect()}
+    assert got == {k: k // 10 * 10 for k, _ in lines}
+    assert seen["tasks"] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(seen["pairs"]) == len(set(seen["pairs"])) > 12
+
 @pytest.mark.parametrize("c", ["", *linedup.SPACE])
 def test_any_outer_white_space_is_no_part_of_a_line(spark, c):
     own = spark.createDataFrame([(0, 0, f"{c}a b{c}\n{c}c d\ne f{c}\n{c}\n{c}{c} g\u00a0{c}")], "d bigint, th bigint, text string")
